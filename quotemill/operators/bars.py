@@ -56,7 +56,7 @@ def daily_bars(
     ``cumulative``: volume is the last cumulative day volume and divides the traded value; a single
     tick's vwap is its price. ``traded``: volume and divisor are the summed trade sizes.
     """
-    rows = in_session(ticks).withColumns({"trade_date": F.to_date("event_ts"), "_at": order_key(order)})
+    rows = in_session(ticks).withColumn("_at", order_key(order))
     value = F.sum(F.col("price") * F.col("last_size"))
     close = F.max_by("price", F.col("_at"))
     if vwap_mode == "cumulative":
@@ -64,10 +64,15 @@ def daily_bars(
         vwap = F.when((F.count(F.lit(1)) > 1) & (volume > 0), value / volume.cast("double")).otherwise(close)
     else:
         volume, vwap = F.sum("last_size"), _traded_vwap()
-    bars = rows.groupBy("symbol", "trade_date").agg(
+    # a one-day window, not the plain date, so that a stream's watermark can retire old days
+    day = F.window("event_ts", "1 day").alias("_w")
+    out = rows.groupBy("symbol", day).agg(
         F.count(F.lit(1)).alias("ticks"), *_ohlc(order), volume.alias("volume"), vwap.alias("vwap")
     )
-    return _rounded(bars, rounded)
+    out = out.withColumn("trade_date", F.to_date("_w.start")).select(
+        "symbol", "trade_date", "ticks", "open", "high", "low", "close", "volume", "vwap"
+    )
+    return _rounded(out, rounded)
 
 
 def finalize_daily(bars: DataFrame) -> DataFrame:

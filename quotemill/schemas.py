@@ -20,6 +20,8 @@ TICK = _schema(
     "producer_timestamp bigint"
 )
 
+TIMED_TICK = T.StructType([*TICK.fields, T.StructField("event_ts", T.TimestampType()), T.StructField("seq", T.LongType())])
+
 DAILY = _schema(
     "symbol string, trade_date date, open double, high double, low double, close double, volume bigint, "
     "change double, change_percent double, vwap double, exchange string, quote_type int, market_hours int"

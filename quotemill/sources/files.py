@@ -12,7 +12,14 @@ from quotemill import schemas
 from quotemill.functions.scalars import decode_list, parse_bool, parse_tick_ts, parse_ts_multi
 
 
-def read_ticks(spark: SparkSession, path: str, streaming: bool = False, fmt: str = "parquet", **options) -> DataFrame:
+def read_ticks(
+    spark: SparkSession,
+    path: str,
+    streaming: bool = False,
+    fmt: str = "parquet",
+    schema: T.StructType = schemas.TICK,
+    **options,
+) -> DataFrame:
     """Ticks with the declared schema, as a batch or as a stream over a growing folder.
 
     ``fmt="kafka"`` reads JSON messages from a topic where the cluster carries that connector.
@@ -20,14 +27,14 @@ def read_ticks(spark: SparkSession, path: str, streaming: bool = False, fmt: str
     reader = spark.readStream if streaming else spark.read
     if fmt == "kafka":
         raw = reader.format("kafka").options(**options).option("subscribe", path).load()
-        return raw.select(F.from_json(F.col("value").cast("string"), schemas.TICK).alias("t")).select("t.*")
-    return reader.schema(schemas.TICK).format(fmt).options(**options).load(path)
+        return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("t")).select("t.*")
+    return reader.schema(schema).format(fmt).options(**options).load(path)
 
 
 def with_event_time(ticks: DataFrame) -> DataFrame:
     """Add the parsed time and a tie breaker. Text that is no time leaves ``event_ts`` NULL."""
-    seq = F.col("seq") if "seq" in ticks.columns else F.col("producer_timestamp")
-    return ticks.withColumns({"event_ts": parse_tick_ts("timestamp"), "seq": seq})
+    found = {"event_ts": parse_tick_ts("timestamp"), "seq": F.col("producer_timestamp")}
+    return ticks.withColumns({name: value for name, value in found.items() if name not in ticks.columns})
 
 
 def split_unparsed(ticks: DataFrame) -> tuple[DataFrame, DataFrame]:
