@@ -23,7 +23,7 @@ from quotemill.functions.formula import (
 )
 from quotemill.functions.scalars import finite_or_null
 from quotemill.operators.indicators import BASE_COLUMNS, FEATURES, forward_return
-from quotemill.operators.joins import attach_formulas
+from quotemill.session import settle
 
 NUMERIC = (*BASE_COLUMNS, *FEATURES)
 FORMULAS_PER_STOCK = 5
@@ -194,6 +194,8 @@ def formula_pool(given: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def score_formulas(features: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Scores of every usable formula. Features are read several times, so they are settled first."""
+    features = settle(features)
     return rank_ic(apply_alphas(features, catalog), next_returns(features))
 
 

@@ -50,8 +50,8 @@ def _steps(
     rows = previous(samples, labels, order, {"_before": "value"})
     before, now = F.col("_before"), F.col("value")
     return (
-        rows.withColumn("at", _grid_up(order[0], step))
-        .groupBy(*labels, "at")
+        rows.withColumn("at_time", _grid_up(order[0], step))
+        .groupBy(*labels, "at_time")
         .agg(
             F.sum(F.when(now < before, now).when(now >= before, now - before)).alias("increase"),
             F.count_if(now != before).alias("changes"),
@@ -77,9 +77,9 @@ def windowed_steps(
     if n > 1:
         shift = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         sums = sums.withColumn("_k", shift).withColumn(
-            "at", F.timestamp_seconds(F.unix_seconds("at") + F.col("_k") * step)
+            "at_time", F.timestamp_seconds(F.unix_seconds("at_time") + F.col("_k") * step)
         )
-        sums = sums.groupBy(*labels, "at").agg(
+        sums = sums.groupBy(*labels, "at_time").agg(
             F.sum("increase").alias("increase"), F.sum("changes").alias("changes"), F.sum("resets").alias("resets")
         )
     return sums
@@ -90,19 +90,19 @@ def counter_rate(
 ) -> DataFrame:
     """Increase per second of a counter; restarts are handled, window edges are not extrapolated."""
     rows = windowed_steps(samples, labels, window, step, order)
-    return rows.select(*labels, "at", (F.coalesce("increase", F.lit(0.0)) / window).alias("rate"))
+    return rows.select(*labels, "at_time", (F.coalesce("increase", F.lit(0.0)) / window).alias("rate"))
 
 
 def changes(samples: DataFrame, labels: Sequence[str], window: int, step: int = 60, order: Sequence[str] = ("ts",)) -> DataFrame:
-    return windowed_steps(samples, labels, window, step, order).select(*labels, "at", "changes")
+    return windowed_steps(samples, labels, window, step, order).select(*labels, "at_time", "changes")
 
 
 def resets(samples: DataFrame, labels: Sequence[str], window: int, step: int = 60, order: Sequence[str] = ("ts",)) -> DataFrame:
-    return windowed_steps(samples, labels, window, step, order).select(*labels, "at", "resets")
+    return windowed_steps(samples, labels, window, step, order).select(*labels, "at_time", "resets")
 
 
 def sum_by(rates: DataFrame, labels: Sequence[str], value: str = "rate") -> DataFrame:
-    return rates.groupBy(*labels, "at").agg(F.sum(value).alias(value))
+    return rates.groupBy(*labels, "at_time").agg(F.sum(value).alias(value))
 
 
 def histogram_quantile(
@@ -151,14 +151,14 @@ def guarded_ratio(total: Column | str, part: Column | str, whole: Column | str,
 
 def outlier_z(rates: DataFrame, k: float = 2.0, damping: float = 100.0, value: str = "rate") -> DataFrame:
     """Instances whose distance from the mean of the same time is over ``k`` damped deviations."""
-    stats = rates.groupBy("at").agg(F.avg(value).alias("_avg"), F.stddev_pop(value).alias("_std"))
+    stats = rates.groupBy("at_time").agg(F.avg(value).alias("_avg"), F.stddev_pop(value).alias("_std"))
     z = F.abs(F.col(value) - F.col("_avg")) / (F.col("_std") + damping)
-    return rates.join(stats, "at").withColumn("z", z).filter(F.col("z") > k).drop("_avg", "_std")
+    return rates.join(stats, "at_time").withColumn("z", z).filter(F.col("z") > k).drop("_avg", "_std")
 
 
 def last_per_step(samples: DataFrame, labels: Sequence[str], step: int, order: Sequence[str] = ("ts",)) -> DataFrame:
     """The newest value of each series in every grid step."""
-    return samples.groupBy(*labels, _grid_up(order[0], step).alias("at")).agg(
+    return samples.groupBy(*labels, _grid_up(order[0], step).alias("at_time")).agg(
         F.max_by("value", order_key(order)).alias("value")
     )
 
@@ -170,10 +170,10 @@ def offset_delta(
 
     The earlier value is the newest one not older than ``lookback`` at that time.
     """
-    grid = last_per_step(samples, labels, step, order).withColumn("_s", F.unix_seconds("at"))
+    grid = last_per_step(samples, labels, step, order).withColumn("_s", F.unix_seconds("at_time"))
     earlier = Window.partitionBy(*labels).orderBy("_s").rangeBetween(-offset - lookback, -offset)
     delta = F.coalesce("value", F.lit(0.0)) - F.coalesce(F.last("value").over(earlier), F.lit(0.0))
-    return grid.select(*labels, "at", delta.alias("delta"))
+    return grid.select(*labels, "at_time", delta.alias("delta"))
 
 
 def alert_hold(
@@ -212,7 +212,7 @@ def log_rate(logs: DataFrame, condition: Column, labels: Sequence[str], window:
         logs.filter(condition)
         .groupBy(*labels, F.window("ts", f"{window} seconds").alias("_w"))
         .agg((F.count(F.lit(1)) / float(window)).alias("rate"))
-        .select(*labels, F.col("_w.end").alias("at"), "rate")
+        .select(*labels, F.col("_w.end").alias("at_time"), "rate")
     )
 
 
@@ -220,9 +220,9 @@ def last_event_time(
     samples: DataFrame, labels: Sequence[str], by: Sequence[str], window: int = 120, step: int = 60, order: Sequence[str] = ("ts",)
 ) -> DataFrame:
     """At each grid time the newest grid time at which any counter of the group changed."""
-    moved = changes(samples, labels, window, step, order).groupBy(*by, "at").agg(F.sum("changes").alias("_n"))
-    w = Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return moved.select(*by, "at", F.max(F.when(F.col("_n") > 0, F.col("at"))).over(w).alias("last_event"))
+    moved = changes(samples, labels, window, step, order).groupBy(*by, "at_time").agg(F.sum("changes").alias("_n"))
+    w = Window.partitionBy(*by).orderBy("at_time").rowsBetween(Window.unboundedPreceding, 0)
+    return moved.select(*by, "at_time", F.max(F.when(F.col("_n") > 0, F.col("at_time"))).over(w).alias("last_event"))
 
 
 def progress_pct(samples: DataFrame, by: Sequence[str]) -> DataFrame:

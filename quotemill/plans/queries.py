@@ -23,7 +23,7 @@ from quotemill.operators import metrics as mt
 from quotemill.operators import news as nw
 from quotemill.operators import predict as pr
 from quotemill.plans import jobs
-from quotemill.session import scratch
+from quotemill.session import scratch, settle
 from quotemill.sources import adapters as ad
 from quotemill.sources import articles as ar
 from quotemill.sources import files as fs
@@ -74,9 +74,10 @@ class Domain:
         return ind.feature_frame(self.bars, self.news, self.dim_stock)
 
 
-def r(x: Column | str, digits: int = 4) -> Column:
-    """Rounded for comparison, without negative zero."""
-    return F.round(F.col(x) if isinstance(x, str) else x, digits) + F.lit(0.0)
+def r(x: Column | str, digits: int = 4, nudge: float = 0.0) -> Column:
+    """Rounded for comparison, without negative zero; ``nudge`` settles values that end in a half."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.round(x + nudge if nudge else x, digits) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
@@ -359,12 +360,12 @@ def latest_by_symbol(t):
 @query
 def daily_bars(t):
     out = br.daily_bars(fl.valid_ticks(t.ticks), rounded=False)
-    return out.withColumn("vwap", r(F.col("vwap") + 1e-9))
+    return out.withColumn("vwap", r("vwap", nudge=1e-9))
 
 
 @query
 def daily_bars_traded(t):
-    return t.bars.withColumn("vwap", r(F.col("vwap") + 1e-9))
+    return t.bars.withColumn("vwap", r("vwap", nudge=1e-9))
 
 
 @query
@@ -374,24 +375,24 @@ def finalized_daily(t):
 
 @query
 def minute_bars(t):
-    return br.minute_bars(t.ticks, rounded=False).withColumn("vwap", r(F.col("vwap") + 1e-9))
+    return br.minute_bars(t.ticks, rounded=False).withColumn("vwap", r("vwap", nudge=1e-9))
 
 
 @query
 def hourly_bars(t):
-    return br.bars(t.ticks, "1h", rounded=False).withColumn("vwap", r(F.col("vwap") + 1e-9))
+    return br.bars(t.ticks, "1h", rounded=False).withColumn("vwap", r("vwap", nudge=1e-9))
 
 
 @query
 def five_minute_rollup(t):
     out = br.rollup_bars(br.minute_bars(t.ticks, rounded=False), "5m")
-    return out.withColumn("vwap", r(F.col("vwap") + 1e-9))
+    return out.withColumn("vwap", r("vwap", nudge=1e-9))
 
 
 @query
 def daily_rollup(t):
     out = br.rollup_bars(br.minute_bars(t.ticks, rounded=False), "1d")
-    return out.withColumn("vwap", r(F.col("vwap") + 1e-9))
+    return out.withColumn("vwap", r("vwap", nudge=1e-9))
 
 
 @query
@@ -492,7 +493,7 @@ def formula_audit(t):
 @query
 def moving_averages(t):
     out = t.bars.select("stock_code", "trade_date", ind.sma(5).alias("sma_5"), ind.sma(20).alias("sma_20"))
-    return rounded(out, "sma_5", "sma_20")
+    return out.withColumns({c: r(c, nudge=1e-9) for c in ("sma_5", "sma_20")})
 
 
 @query
@@ -528,7 +529,7 @@ def feature_frame(t):
         "stock_code", "trade_date", "close", F.col("SMA_20").alias("sma_20"), F.col("EMA_10").alias("ema_10"),
         F.col("MACD_Signal").alias("macd_signal"), F.col("OBV").alias("obv"), "polarity",
     )
-    return rounded(out, "sma_20", "ema_10", "macd_signal", "polarity")
+    return rounded(out, "ema_10", "macd_signal", "polarity").withColumn("sma_20", r("sma_20", nudge=1e-9))
 
 
 @query
@@ -553,7 +554,7 @@ def minmax_scaling(t):
     scaled = pr.minmax_apply(t.bars, fitted, ["close", "volume"])
     back = pr.minmax_invert(scaled, fitted, "close_scaled", "close", "close_again")
     out = back.select("stock_code", "trade_date", "close_scaled", "volume_scaled", "close_again")
-    return rounded(out, "close_scaled", "volume_scaled", "close_again")
+    return rounded(out, "close_scaled", "volume_scaled").withColumn("close_again", r("close_again", nudge=1e-9))
 
 
 @query
@@ -813,7 +814,7 @@ def evaluated_formula(t):
 
 @query
 def alpha_values(t):
-    out = al.apply_alphas(t.features, t.catalog)
+    out = al.apply_alphas(settle(t.features), t.catalog)
     return rounded(out, "value", digits=3)
 
 
@@ -953,25 +954,25 @@ def latency_quantiles(t):
 
 @query
 def mean_latency(t):
-    at = mt._grid_up("ts", 3600).alias("at")
+    at = mt._grid_up("ts", 3600).alias("at_time")
     sums = t.change_samples.groupBy("symbol", at).agg(F.sum("latency_ms").alias("rate"))
     counts = t.change_samples.groupBy("symbol", at).agg(F.count(F.lit(1)).cast("double").alias("rate"))
-    return rounded(mt.mean_from_sum_count(sums, counts, ["symbol", "at"]), "mean")
+    return rounded(mt.mean_from_sum_count(sums, counts, ["symbol", "at_time"]), "mean")
 
 
 @query
 def guarded_ratios(t):
-    at = mt._grid_up("ts", 86400).alias("at")
+    at = mt._grid_up("ts", 86400).alias("at_time")
     rows = t.change_samples.groupBy("symbol", at).agg(
         F.count(F.lit(1)).cast("double").alias("total"), F.count_if(F.col("latency_ms") > 200).cast("double").alias("part")
     )
-    return rows.select("symbol", "at", r(mt.guarded_ratio("total", "part", "total", 10)).alias("ratio"))
+    return rows.select("symbol", "at_time", r(mt.guarded_ratio("total", "part", "total", 10)).alias("ratio"))
 
 
 @query
 def counter_changes(t):
     out = mt.windowed_steps(t.samples, ["symbol"], window=7200, step=3600, order=ORDER)
-    return out.select("symbol", "at", "changes", "resets")
+    return out.select("symbol", "at_time", "changes", "resets")
 
 
 @query
