@@ -31,7 +31,7 @@ CHANGE_SECONDS = 120
 CHANGE_COLUMNS = ("price", "change", "change_percent", "day_volume", "last_size")
 ROUNDED = ("price", "change", "change_percent")
 
-_MOVERS = T.StructType.fromDDL(
+_MOVERS = schemas.columns(
     "side string, position int, symbol string, price double, change double, change_percent double, day_volume bigint"
 )
 
