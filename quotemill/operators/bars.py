@@ -24,20 +24,20 @@ def latest_by_symbol(ticks: DataFrame, order: Sequence[str] = TICK_ORDER, key: s
     return ticks.groupBy(key).agg(row.alias("_row")).select(key, "_row.*").select(*ticks.columns)
 
 
-def _ohlc(order: Sequence[str]) -> list[Column]:
-    at = order_key(order)
+def _ohlc() -> list[Column]:
+    """Over rows with their order key in ``_at``."""
     return [
-        F.min_by("price", at).alias("open"),
+        F.min_by("price", "_at").alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", at).alias("close"),
+        F.max_by("price", "_at").alias("close"),
     ]
 
 
 def _traded_vwap() -> Column:
     return F.coalesce(
         F.try_divide(F.sum(F.col("price") * F.col("last_size")), F.sum("last_size").cast("double")),
-        F.max_by("price", F.col("_at")),
+        F.max_by("price", "_at"),
     )
 
 
@@ -58,16 +58,16 @@ def daily_bars(
     """
     rows = in_session(ticks).withColumn("_at", order_key(order))
     value = F.sum(F.col("price") * F.col("last_size"))
-    close = F.max_by("price", F.col("_at"))
+    close = F.max_by("price", "_at")
     if vwap_mode == "cumulative":
-        volume = F.max_by("day_volume", F.col("_at"))
+        volume = F.max_by("day_volume", "_at")
         vwap = F.when((F.count(F.lit(1)) > 1) & (volume > 0), value / volume.cast("double")).otherwise(close)
     else:
         volume, vwap = F.sum("last_size"), _traded_vwap()
     # a one-day window, not the plain date, so that a stream's watermark can retire old days
     day = F.window("event_ts", "1 day").alias("_w")
     out = rows.groupBy("symbol", day).agg(
-        F.count(F.lit(1)).alias("ticks"), *_ohlc(order), volume.alias("volume"), vwap.alias("vwap")
+        F.count(F.lit(1)).alias("ticks"), *_ohlc(), volume.alias("volume"), vwap.alias("vwap")
     )
     out = out.withColumn("trade_date", F.to_date("_w.start")).select(
         "symbol", "trade_date", "ticks", "open", "high", "low", "close", "volume", "vwap"
@@ -104,7 +104,7 @@ def bars(
     rows = in_session(ticks).withColumn("_at", order_key(order))
     out = (
         rows.groupBy("symbol", F.window("event_ts", INTERVALS[interval]).alias("_w"))
-        .agg(*_ohlc(order), F.sum("last_size").alias("volume"), _traded_vwap().alias("vwap"))
+        .agg(*_ohlc(), F.sum("last_size").alias("volume"), _traded_vwap().alias("vwap"))
         .select(
             "symbol",
             F.to_date("_w.start").alias("bucket_date"),
@@ -141,7 +141,7 @@ def rollup_bars(fine: DataFrame, interval: str) -> DataFrame:
 
 def session_summary(ticks: DataFrame, order: Sequence[str] = TICK_ORDER) -> DataFrame:
     """Open, high, low and close of each symbol's given ticks."""
-    return ticks.groupBy("symbol").agg(*_ohlc(order))
+    return ticks.withColumn("_at", order_key(order)).groupBy("symbol").agg(*_ohlc())
 
 
 def collapse_by_second(ticks: DataFrame, order: Sequence[str] = TICK_ORDER) -> DataFrame:

@@ -1,7 +1,7 @@
 """Joins of prices, news and predictions.
 
 Bars hold one row per code and date, so news is aggregated to that grain before it is joined.
-Where articles themselves are joined, the articles are spread over salts.
+Where articles themselves are joined, those of a crowded day are spread over several tasks.
 """
 
 from __future__ import annotations
@@ -11,19 +11,27 @@ from pyspark.sql import functions as F
 
 from quotemill.functions.calendar import prev_weekday
 from quotemill.functions.scalars import article_key
-from quotemill.operators.news import daily_sentiment
+from quotemill.operators.news import BROADCAST_KEYS, daily_sentiment, sized_broadcast
 
-SALTS = 32
+# A key with more rows than this is split over several tasks.
+ROWS_PER_TASK = 1_000_000
 
 
-def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread: list[str], salts: int = SALTS) -> DataFrame:
+def salted_join(
+    many: DataFrame, one: DataFrame, keys: list[str], spread: list[str], per_key: DataFrame, limit: int = ROWS_PER_TASK
+) -> DataFrame:
     """Inner join of a side with hot keys to a side with one row per key.
 
-    Rows of ``many`` get a salt from their own ``spread`` columns; every row of ``one`` is repeated
-    per salt. A key that holds a third of all rows then lands in ``salts`` tasks.
+    ``per_key`` holds the row count ``n`` of each key of ``many``. Only keys over ``limit`` are
+    salted: their rows are spread by their own ``spread`` columns over n / limit parts, and the one
+    matching row is repeated for each part. There are at most (all rows / limit) such keys.
     """
-    left = many.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    right = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hot = per_key.filter(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("_parts"))
+    hot = sized_broadcast(hot, BROADCAST_KEYS)
+    salt = F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int")
+    left = many.join(hot, keys, "left").withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_parts")
+    parts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    right = one.join(hot, keys, "left").withColumn("_salt", F.explode(parts)).drop("_parts")
     return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
@@ -39,10 +47,11 @@ def training_view(prices: DataFrame, dim: DataFrame, news: DataFrame, since: str
         .join(dim.select("stock_code", "exchange"), "stock_code")
         .select("stock_code", "trade_date", "open", "high", "low", "close", "volume", "exchange")
     )
+    keys = ["stock_code", "trade_date"]
     articles = news.select("stock_code", F.col("news_date").alias("trade_date"), "sentiment_score", "article_id")
-    with_news = salted_join(articles, bars, ["stock_code", "trade_date"], ["article_id"])
-    days = articles.select("stock_code", "trade_date").distinct()
-    without = bars.join(days, ["stock_code", "trade_date"], "left_anti").withColumns(
+    per_day = articles.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    with_news = salted_join(articles, bars, keys, ["article_id"], per_day)
+    without = bars.join(per_day, keys, "left_anti").withColumns(
         {"sentiment_score": F.lit(None).cast("double"), "article_id": F.lit(None).cast("string")}
     )
     columns = [*bars.columns, "sentiment_score", "article_id"]

@@ -13,8 +13,8 @@ from quotemill.functions.scalars import sector_label, strip_suffix
 
 WORD_BREAK = r"[^\p{L}\p{N}_]+"
 SCORED_CHARS = 1000
-# Above this many codes the mention join is left to a shuffle.
-BROADCAST_CODES = 200_000
+# Narrow key tables up to this many rows are broadcast, larger ones are shuffled.
+BROADCAST_KEYS = 200_000
 
 
 def sized_broadcast(df: DataFrame, limit: int) -> DataFrame:
@@ -41,7 +41,7 @@ def mention_pairs(news: DataFrame, dim: DataFrame) -> DataFrame:
     """
     codes = dim.select(F.lower("stock_code").alias("word"), F.col("stock_code").alias("mentioned")).distinct()
     tokens = news.select("article_id", "stock_code", F.explode(words("content")).alias("word"))
-    return tokens.join(sized_broadcast(codes, BROADCAST_CODES), "word").select("article_id", "stock_code", "mentioned")
+    return tokens.join(sized_broadcast(codes, BROADCAST_KEYS), "word").select("article_id", "stock_code", "mentioned")
 
 
 def related_companies(news: DataFrame, dim: DataFrame, k: int = 5, end_date: str | None = None) -> DataFrame:
@@ -57,7 +57,7 @@ def related_companies(news: DataFrame, dim: DataFrame, k: int = 5, end_date: str
     ).filter(F.array_contains("words", F.lower("stock_code")))
     pairs = (
         tokens.select("article_id", "stock_code", F.explode("words").alias("word"))
-        .join(sized_broadcast(codes, BROADCAST_CODES), "word")
+        .join(sized_broadcast(codes, BROADCAST_KEYS), "word")
         .filter(F.lower("mentioned") != F.lower("stock_code"))
     )
     counts = pairs.groupBy("stock_code", F.col("mentioned").alias("partner")).agg(F.count(F.lit(1)).alias("n_articles"))

@@ -69,6 +69,15 @@ class Domain:
     def daily_codes(self) -> DataFrame:
         return self.daily.select(sc.strip_suffix("symbol").alias("stock_code"), "trade_date", "close")
 
+    @cached_property
+    def mention_codes(self) -> DataFrame:
+        """The 30 codes; found once, as the articles and the look-up both need them."""
+        return settle(ad.mention_codes(self.spark, self.sf_dir))
+
+    @cached_property
+    def mention_news(self) -> DataFrame:
+        return ad.mention_news(self.spark, self.sf_dir, self.mention_codes)
+
     @cached_property
     def features(self) -> DataFrame:
         return ind.feature_frame(self.bars, self.news, self.dim_stock)

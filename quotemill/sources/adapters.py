@@ -162,10 +162,10 @@ def mention_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("stock_code", number.alias("n"))
 
 
-def mention_news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as articles of the mention codes."""
+def mention_news(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
+    """Documents as articles of the mention codes (``own``, where they are known already)."""
     docs = load(spark, sf_dir, "documents").withColumn("n", F.pmod("doc_id", F.lit(MENTION_CODES)).cast("int"))
-    own = F.broadcast(mention_codes(spark, sf_dir))  # 30 rows
+    own = F.broadcast(own if own is not None else mention_codes(spark, sf_dir))  # 30 rows
     day = F.date_add(F.lit("1995-01-02").cast("date"), F.pmod("doc_id", F.lit(365)).cast("int"))
     return docs.join(own, "n").select(
         F.col("doc_id").cast("string").alias("article_id"),
