@@ -87,9 +87,9 @@ def _apply_in_batches(features: DataFrame, good: DataFrame) -> DataFrame:
     """Any number of formulas: rows meet their own formulas, Arrow batches compute them by formula."""
     wide = features.select("stock_code", "trade_date", *NUMERIC, "polarity", "related_polarity")
     rows = wide.join(good, "stock_code")
-    tree = lru_cache(maxsize=None)(parse)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = lru_cache(maxsize=10_000)(parse)
         for pdf in batches:
             out = np.full(len(pdf), np.nan)
             for (expression, stock), where in pdf.groupby(["expression", "stock_code"]).indices.items():
@@ -132,9 +132,12 @@ def rank_ic(alphas: DataFrame, returns: DataFrame, min_samples: int = MIN_SAMPLE
         *group, _tied_rank(group, "value").alias("ra"), _tied_rank(group, "future_return").alias("rb")
     )
     n = F.count(F.lit(1))
-    varied = (F.min("ra") < F.max("ra")) & (F.min("rb") < F.max("rb"))
+    # corr would raise an error where one side is constant
+    correlation = F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb"))
     scores = ranked.groupBy(*group).agg(
-        F.when((n >= min_samples) & varied, F.corr("ra", "rb")).alias("rank_ic"),
+        F.when(
+            (n >= min_samples) & correlation.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), correlation))
+        ).alias("rank_ic"),
         F.when(n >= min_samples, n).otherwise(0).alias("n_samples"),
     )
     return scores.withColumn("pvalue", correlation_pvalue("rank_ic", "n_samples")).select(
