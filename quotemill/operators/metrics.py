@@ -145,8 +145,9 @@ def mean_from_sum_count(sums: DataFrame, counts: DataFrame, keys: Sequence[str],
 def guarded_ratio(total: Column | str, part: Column | str, whole: Column | str, threshold: float = 100) -> Column:
     """1 - part / whole, not below 0, and 0 unless ``total`` is over the threshold."""
     total, part, whole = (F.col(c) if isinstance(c, str) else c for c in (total, part, whole))
-    ratio = F.greatest(F.lit(1.0) - F.try_divide(part, whole), F.lit(0.0))
-    return F.when(total > threshold, ratio).otherwise(F.when(ratio.isNotNull(), 0.0))
+    share = F.try_divide(part, whole)  # NULL where nothing was counted; greatest alone would hide that
+    ratio = F.when(total > threshold, F.greatest(1.0 - share, F.lit(0.0))).otherwise(0.0)
+    return F.when(share.isNotNull(), ratio)
 
 
 def outlier_z(rates: DataFrame, k: float = 2.0, damping: float = 100.0, value: str = "rate") -> DataFrame:

@@ -158,6 +158,7 @@ def predict_all(
     store: ModelStore,
     day: dt.date,
     stamp: str,
+    trees: int = 20,
 ) -> DataFrame:
     """The whole run for one prediction date; returns one row per stock, good or failed.
 
@@ -170,7 +171,7 @@ def predict_all(
     values = settle(al.apply_alphas(features, pool))
     best = settle(al.select_best_alphas(al.rank_ic(values, al.next_returns(features))))
     frame = settle(alpha_frame(features, values, best))
-    trained = pr.train_and_validate(frame, ALPHAS)
+    trained = pr.train_and_validate(frame, ALPHAS, trees=trees)
 
     formulas = best.groupBy("stock_code").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("position", "formula"))), lambda r: r["formula"]).alias("f")

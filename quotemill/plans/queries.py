@@ -1089,7 +1089,7 @@ def prediction_run(t):
     root = scratch(t.spark, "warehouse")
     return jobs.predict_all(
         t.bars, t.news, t.dim_stock, t.catalog, jobs.warehouse_tables(root), jobs.ModelStore(f"{root}/models"),
-        dt.date(2001, 1, 2), "20010101_230000",
+        dt.date(2001, 1, 2), "20010101_230000", trees=5,
     ).select("stock_code", "predicted_price", "model_name", "confidence", "saved", "error")
 
 
