@@ -161,7 +161,7 @@ def running_high_low(ticks: DataFrame, order: Sequence[str] = TICK_ORDER) -> Dat
         rows,
         keys,
         {"_hi": F.max(price), "_lo": F.min(price)},
-        {"_hi_in": (F.max("_hi"), ()), "_lo_in": (F.min("_lo"), ())},
+        {"_hi_in": (F.max("_hi"), keys), "_lo_in": (F.min("_lo"), keys)},
     )
     w = so_far(keys, order)
     return rows.withColumns(
@@ -181,7 +181,7 @@ def carry_change(ticks: DataFrame, ttl: str = "1 day", order: Sequence[str] = TI
         rows,
         ["symbol"],
         {"_seen": F.max_by(value, F.when(moved, order_key(order)))},
-        {"_seen_in": (F.last("_seen", ignorenulls=True), ())},
+        {"_seen_in": (F.last("_seen", ignorenulls=True), ["symbol"])},
     )
     local = F.last(F.when(moved, value), ignorenulls=True).over(so_far(["symbol"], order))
     rows = rows.withColumn("_last", F.coalesce(local, "_seen_in"))
@@ -215,7 +215,7 @@ def tick_direction(ticks: DataFrame, order: Sequence[str] = TICK_ORDER) -> DataF
         rows,
         keys,
         {f"_end{n}": F.max_by(n, at) for n, at in moved.items()},
-        {f"_in{n}": (F.last(f"_end{n}", ignorenulls=True), ()) for n in step},
+        {f"_in{n}": (F.last(f"_end{n}", ignorenulls=True), keys) for n in step},
     )
     w = so_far(keys, order)
     out = {

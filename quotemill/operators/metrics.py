@@ -189,7 +189,7 @@ def alert_hold(
     ok = F.coalesce(holds, F.lit(False))
     rows = with_runs(samples.withColumn("_ok", ok), labels, order)
     failed = F.when(~F.col("_ok"), order_key(order))
-    rows = carry_in(rows, labels, {"_fail": F.max(failed)}, {"_fail_in": (F.max("_fail"), ())})
+    rows = carry_in(rows, labels, {"_fail": F.max(failed)}, {"_fail_in": (F.max("_fail"), labels)})
     rows = rows.withColumn("_span", F.coalesce(F.max(failed).over(so_far(labels, order)), "_fail_in"))
     spans = rows.filter("_ok").groupBy(*labels, "_span").agg(
         F.min(ts).alias("started_at"), F.max(ts).alias("ended_at"), F.count(F.lit(1)).alias("n_samples")

@@ -50,16 +50,17 @@ def carry_in(
     per_run: dict[str, Column],
     carried: dict[str, tuple[Column, Sequence[str]]],
 ) -> DataFrame:
-    """Join to each row what earlier runs of its key pass on.
+    """Join to each row what earlier runs pass on.
 
     ``per_run`` are aggregates of one run (combined before the shuffle). ``carried`` maps an output
-    name to an aggregate over the runs before this one, and the extra columns of ``per_run`` or
-    ``keys`` at which it starts afresh.
+    name to an aggregate over the runs before this one and the keys within which it goes on; the
+    other keys (a day, say) only order the runs.
     """
     totals = rows.groupBy(*keys, RUN).agg(*[c.alias(n) for n, c in per_run.items()])
     out = {}
-    for name, (agg, restart) in carried.items():
-        before = Window.partitionBy(*keys, *restart).orderBy(RUN).rowsBetween(Window.unboundedPreceding, -1)
+    for name, (agg, within) in carried.items():
+        order = [*[k for k in keys if k not in within], RUN]
+        before = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         out[name] = agg.over(before)
     carries = totals.withColumns(out).select(*keys, RUN, *carried)
     return rows.join(carries, [*keys, RUN], "left")
@@ -78,6 +79,16 @@ def order_key(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in order])
 
 
+def run_end(column: str, order: Sequence[str]) -> Column:
+    """Per-run aggregate: the column's value on the last row, wrapped so that a NULL counts as a value."""
+    return F.max_by(F.struct(F.col(column).alias("v")), order_key(order))
+
+
+def before_row(column: str, carried: str, keys: Sequence[str], order: Sequence[str]) -> Column:
+    """The column's value one row earlier; on the first row of a run the carried run end."""
+    return F.coalesce(F.lag(F.struct(F.col(column).alias("v"))).over(in_run(keys, order)), F.col(carried))["v"]
+
+
 def previous(
     df: DataFrame,
     keys: Sequence[str],
@@ -88,13 +99,7 @@ def previous(
 ) -> DataFrame:
     """Add the value each column had on the row before, across run borders: {new name: column}."""
     rows = runs if runs is not None else with_runs(df, keys, order, width)
-    ends = {f"_end_{new}": F.max_by(F.struct(F.col(old).alias("v")), order_key(order)) for new, old in columns.items()}
-    starts = {f"_in_{new}": (F.last(f"_end_{new}"), ()) for new in columns}
-    joined = carry_in(rows, keys, ends, starts)
-    w = in_run(keys, order)
-    out = {
-        # a struct around the value tells "no earlier row" from "earlier row holds NULL"
-        new: F.coalesce(F.lag(F.struct(F.col(old).alias("v"))).over(w), F.col(f"_in_{new}"))["v"]
-        for new, old in columns.items()
-    }
-    return joined.withColumns(out).drop(*starts)
+    ends = {f"_end_{new}": run_end(old, order) for new, old in columns.items()}
+    joined = carry_in(rows, keys, ends, {f"_in_{new}": (F.last(f"_end_{new}"), keys) for new in columns})
+    out = {new: before_row(old, f"_in_{new}", keys, order) for new, old in columns.items()}
+    return joined.withColumns(out).drop(*[f"_in_{new}" for new in columns])

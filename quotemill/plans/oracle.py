@@ -361,6 +361,9 @@ UNION ALL SELECT *, '02/01/2024' FROM c WHERE stock_code < 'S5' AND rank_ic < 0.
     "article_links": """
 SELECT page_id, unnest(range(len(l)))::BIGINT AS pos, unnest(l) AS link
 FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS l FROM pages)""",
+    "page_titles": """
+SELECT page_id, trim(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS title,
+       len(regexp_extract_all(html, '<a [^>]*href="([^"]*)"'))::BIGINT AS n_links, FALSE AS is_pdf FROM pages""",
     # filters
     "valid_ticks": f"WITH {TICKS} SELECT {TICK_COLUMNS} FROM valid",
     "session_flag_ticks": f"WITH {TICKS} SELECT {TICK_COLUMNS} FROM ticks WHERE market_hours = 1",

@@ -205,6 +205,13 @@ def extracted_articles(t):
     )
 
 
+@query
+def page_titles(t):
+    layout = ar.Layout(body_id=None, paragraph_class=None)
+    out = ar.extract_articles(t.pages.select("page_id", "html"), layout)
+    return out.select("page_id", "title", F.size("links").cast("bigint").alias("n_links"), "is_pdf")
+
+
 # --- filters ------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quotemill.functions.calendar import next_weekday
 from quotemill.operators.bars import daily_bars
 from quotemill.operators.news import WORD_BREAK
-from quotemill.operators.runs import carry_in, previous, so_far, with_runs
+from quotemill.operators.runs import before_row, carry_in, run_end, so_far, with_runs
 from quotemill.session import use_utc
 
 TICK_SYMBOLS = 20
@@ -57,12 +57,15 @@ def raw_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks with day volume and change against the tick before, for symbols of any size."""
-    order = ("event_ts", "seq")
-    raw = raw_ticks(spark, sf_dir).withColumn("trade_date", F.to_date("event_ts"))
-    rows = with_runs(raw, ["symbol"], order)
-    rows = previous(rows, ["symbol"], order, {"_prev": "price"}, runs=rows)
-    day = ["symbol", "trade_date"]
-    rows = carry_in(rows, day, {"_size": F.sum("last_size")}, {"_size_in": (F.sum("_size"), ())})
+    keys, order = ["symbol", "trade_date"], ("event_ts", "seq")
+    rows = with_runs(raw_ticks(spark, sf_dir).withColumn("trade_date", F.to_date("event_ts")), keys, order)
+    rows = carry_in(
+        rows,
+        keys,
+        {"_size": F.sum("last_size"), "_end": run_end("price", order)},
+        {"_size_in": (F.sum("_size"), keys), "_price_in": (F.last("_end"), ["symbol"])},
+    )
+    rows = rows.withColumn("_prev", before_row("price", "_price_in", keys, order))
     change = F.col("price") - F.col("_prev")
     return rows.select(
         "symbol",
@@ -72,7 +75,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "quote_type",
         "market_hours",
         (F.try_divide(change, F.col("_prev")) * 100.0).alias("change_percent"),
-        (F.sum("last_size").over(so_far(day, order)) + F.coalesce("_size_in", F.lit(0))).alias("day_volume"),
+        (F.sum("last_size").over(so_far(keys, order)) + F.coalesce("_size_in", F.lit(0))).alias("day_volume"),
         change.alias("change"),
         "last_size",
         "price_hint",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,13 +64,13 @@ class Table:
         return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str] | None = None) -> DataFrame:
+def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
     """One row per key: the last in the given order, or in the order of all other columns."""
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.distinct()
-    at = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order]) if order else F.struct(*rest)
-    row = F.max_by(F.struct(*rest), at)
+    whole = F.struct(*rest)
+    row = F.max_by(whole, F.struct(*order)) if order else F.max(whole)
     return df.groupBy(*keys).agg(row.alias("_row")).select(*keys, "_row.*").select(*df.columns)
 
 
