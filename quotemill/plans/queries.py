@@ -23,7 +23,7 @@ from quotemill.operators import metrics as mt
 from quotemill.operators import news as nw
 from quotemill.operators import predict as pr
 from quotemill.plans import jobs
-from quotemill.session import scratch, settle
+from quotemill.session import scratch, settle, stored
 from quotemill.sources import adapters as ad
 from quotemill.sources import articles as ar
 from quotemill.sources import files as fs
@@ -49,11 +49,20 @@ class Domain:
         setattr(self, name, made)
         return made
 
+    @cached_property
+    def ticks(self) -> DataFrame:
+        """The ticks as a stored table, as the stream leaves them; most queries scan it more than once."""
+        return stored(ad.ticks(self.spark, self.sf_dir), "ticks")
+
     @cached_property
     def daily(self) -> DataFrame:
         """Finished daily bars of the valid ticks, with market symbols."""
         return br.finalize_daily(br.daily_bars(fl.valid_ticks(self.ticks)))
 
+    @cached_property
+    def samples(self) -> DataFrame:
+        return ad.samples(self.ticks)
+
     @cached_property
     def latest(self) -> DataFrame:
         return br.latest_by_symbol(self.ticks)
@@ -108,7 +117,7 @@ TICK_COLUMNS = ["symbol", "price", "change", "change_percent", "day_volume", "la
 
 @query
 def ticks(t):
-    return t.ticks.select(*TICK_COLUMNS, "timestamp", "exchange", "producer_timestamp")
+    return ad.ticks(t.spark, t.sf_dir).select(*TICK_COLUMNS, "timestamp", "exchange", "producer_timestamp")
 
 
 @query
@@ -1055,9 +1064,9 @@ def run_progress(t):
 def warehouse_daily(t):
     """A first load up to a day, then an incremental load of everything."""
     wh = jobs.warehouse_tables(scratch(t.spark, "warehouse"))
-    first = t.daily.filter(F.col("trade_date") <= F.lit("2024-01-15").cast("date"))
-    jobs.load_daily(first, wh)
-    jobs.load_daily(t.daily, wh)
+    summary = stored(t.daily, "daily")
+    jobs.load_daily(summary.filter(F.col("trade_date") <= F.lit("2024-01-15").cast("date")), wh)
+    jobs.load_daily(summary, wh)
     return wh["fact_daily_prices"].read(t.spark).select("stock_code", "trade_date", "open", "high", "low", "close", "volume", "change")
 
 

@@ -34,9 +34,15 @@ def use_utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def _shared_folder(spark: SparkSession) -> str | None:
+    """The folder the cluster names for checkpoints, if any."""
+    key = "spark.checkpoint.dir"
+    return spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's shared checkpoint folder, or a temporary one without it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = _shared_folder(spark)
     if named:
         return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     return tempfile.mkdtemp(prefix=f"quotemill-{name}-", dir=os.environ.get("TMPDIR"))
@@ -51,6 +57,15 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quotemill-", dir=os.environ.get("TMPDIR")))
+        context.setCheckpointDir(_shared_folder(spark) or tempfile.mkdtemp(prefix="quotemill-", dir=os.environ.get("TMPDIR")))
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as a Parquet table below the shared folder and read that.
+
+    For tables that several steps scan: unlike a checkpoint, each scan reads only its own columns.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

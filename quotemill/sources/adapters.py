@@ -183,9 +183,9 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages")
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def samples(ticked: DataFrame) -> DataFrame:
     """The day volume of each symbol as a counter that restarts every day."""
-    return ticks(spark, sf_dir).select(
+    return ticked.select(
         F.col("symbol"), F.col("event_ts").alias("ts"), "seq", F.col("day_volume").cast("double").alias("value")
     )
 
