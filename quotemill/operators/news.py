@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from quotemill.functions.scalars import sector_label, strip_suffix
 
 WORD_BREAK = r"[^\p{L}\p{N}_]+"
-SCORED_CHARS = 1000
 # Narrow key tables up to this many rows are broadcast, larger ones are shuffled.
 BROADCAST_KEYS = 200_000
 
@@ -144,15 +143,17 @@ def score_articles(
     news: DataFrame,
     text_scorer: Callable[[pd.Series], pd.Series] | None = None,
     pdf_scorer: Callable[[pd.Series], pd.Series] | None = None,
-    chars: int = SCORED_CHARS,
+    chars: int | None = None,
 ) -> DataFrame:
     """Add ``sentiment_score`` in -1..1; a failing or missing score counts as 0.
 
-    A text scorer sees the first ``chars`` characters of the content, a PDF scorer the link. Both
-    are vectorised functions. Without a text scorer the word list decides, and a PDF gets 0.
+    A text scorer sees the whole content, or its first ``chars`` characters where a model takes no
+    more; a PDF scorer sees the link. Both are vectorised functions. Without a text scorer the word
+    list decides, and a PDF gets 0.
     """
-    head = F.substring(F.coalesce("content", F.lit("")), 1, chars)
-    text = word_score(head) if text_scorer is None else _guarded(text_scorer)(head)
+    seen = F.coalesce("content", F.lit(""))
+    seen = seen if chars is None else F.substring(seen, 1, chars)
+    text = word_score(seen) if text_scorer is None else _guarded(text_scorer)(seen)
     pdf = F.lit(0.0) if pdf_scorer is None else _guarded(pdf_scorer)(F.coalesce("pdf_link", "link"))
     score = F.when(F.col("is_pdf"), pdf).otherwise(text)
     score = F.when(F.isnan(score), 0.0).otherwise(F.coalesce(score, F.lit(0.0)))

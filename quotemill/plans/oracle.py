@@ -651,7 +651,7 @@ SELECT n.stock_code, CASE WHEN o.mse_loss < n.mse_loss THEN o.model_name ELSE n.
 FROM runs n LEFT JOIN runs o ON o.stock_code = n.stock_code AND o.trained_on = DATE '1996-02-01' WHERE n.trained_on = DATE '1996-03-01'""",
     "saveable_predictions": f"WITH {PREDICTIONS} SELECT stock_code, prediction_date, predicted_price FROM predictions WHERE day(prediction_date) <> 1",
     "scored_articles": f"""WITH {NEWS},
-w AS (SELECT article_id, is_pdf, regexp_split_to_array(lower(substring(content, 1, 1000)), '[^\\p{{L}}\\p{{N}}_]+') AS t FROM news),
+w AS (SELECT article_id, is_pdf, regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}_]+') AS t FROM news),
 c AS (SELECT *, len(list_filter(t, lambda x: x IN ('the', 'and', 'de', 'la', 'der'))) AS g, len(list_filter(t, lambda x: x IN ('of', 'in', 'le', 'el', 'und'))) AS b FROM w)
 SELECT article_id, is_pdf, CASE WHEN is_pdf OR g + b = 0 THEN 0.0 ELSE round((g - b)::DOUBLE / (g + b)::DOUBLE, 4) + 0.0 END AS score FROM c""",
     # streaming

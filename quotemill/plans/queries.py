@@ -23,7 +23,7 @@ from quotemill.operators import metrics as mt
 from quotemill.operators import news as nw
 from quotemill.operators import predict as pr
 from quotemill.plans import jobs
-from quotemill.session import scratch, settle, stored
+from quotemill.session import scratch, settle, ship_package, stored
 from quotemill.sources import adapters as ad
 from quotemill.sources import articles as ar
 from quotemill.sources import files as fs
@@ -39,6 +39,7 @@ class Domain:
     """Domain tables of one data folder, built when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        ship_package(spark)
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -886,8 +887,7 @@ def saveable_predictions(t):
 @query
 def scored_articles(t):
     good, bad = ("the", "and", "de", "la", "der"), ("of", "in", "le", "el", "und")
-    head = F.substring("content", 1, nw.SCORED_CHARS)
-    out = t.news.select("article_id", "is_pdf", F.when(F.col("is_pdf"), 0.0).otherwise(nw.word_score(head, good, bad)).alias("score"))
+    out = t.news.select("article_id", "is_pdf", F.when(F.col("is_pdf"), 0.0).otherwise(nw.word_score("content", good, bad)).alias("score"))
     return rounded(out, "score")
 
 
