@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import pathlib
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -59,24 +61,34 @@ def _shared_folder(spark: SparkSession) -> str | None:
     return spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
 
 
+def _own_folder(spark: SparkSession, name: str) -> str:
+    """A temporary folder of this machine; only where driver and executors are one process."""
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder when the master is {master}")
+    folder = tempfile.mkdtemp(prefix=f"quotemill-{name}-", dir=os.environ.get("TMPDIR"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder, or a temporary one without it."""
+    """A new folder below the shared checkpoint folder; a temporary one on a single machine without it."""
     named = _shared_folder(spark)
     if named:
         return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"quotemill-{name}-", dir=os.environ.get("TMPDIR"))
+    return _own_folder(spark, name)
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is
-    unset (tests, a laptop) a temporary one is made.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset, a
+    temporary one is made on a single machine, and anything else is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(_shared_folder(spark) or tempfile.mkdtemp(prefix="quotemill-", dir=os.environ.get("TMPDIR")))
+        context.setCheckpointDir(_shared_folder(spark) or _own_folder(spark, "checkpoint"))
     return df.checkpoint()
 
 
