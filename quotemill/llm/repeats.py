@@ -30,6 +30,8 @@ NO_ID = np.iinfo(np.int64).max
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _CHUNK = 1 << 20
+#: Hashes travel as 48 bits; a gram's bucket and 96 bits of gram and context tell anchors apart.
+_LOW48 = np.uint64((1 << 48) - 1)
 
 
 def _byte_values() -> np.ndarray:
@@ -96,7 +98,7 @@ class Anchors:
         self.high = np.minimum(self.at + size, self.ends[self.doc])
         self.gram = grams[self.at]
         shape = ((self.at - self.low) * 64 + (self.high - self.at)).astype(np.uint64) * _STEP
-        self.context = mix((prefix[self.high] - prefix[self.low]) * down[self.low] ^ shape)
+        self.context = mix((prefix[self.high] - prefix[self.low]) * down[self.low] ^ shape) & _LOW48
 
 
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
@@ -187,7 +189,27 @@ def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _key(gram: np.ndarray, context: np.ndarray) -> np.ndarray:
-    return mix(gram + context * _STEP)
+    return mix((gram & _LOW48) + context * _STEP)
+
+
+def _packed(hashes: np.ndarray) -> bytes:
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(table: pa.Table, name: str) -> np.ndarray:
+    low = _blobs(table, name, np.uint8).reshape(-1, 6)
+    whole = np.zeros((len(low), 8), np.uint8)
+    whole[:, :6] = low
+    return whole.view("<u8").ravel().astype(np.uint64)
+
+
+def _packed_ids(ids: np.ndarray) -> bytes:
+    """Sorted ids as steps, by planes of equal bytes: the empty ones vanish when the shuffle compresses."""
+    return np.diff(ids, prepend=np.int64(0)).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked_ids(table: pa.Table, name: str) -> np.ndarray:
+    return np.concatenate([np.cumsum(np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view("<i8").ravel()) for x in table[name].to_pylist()])
 
 
 def _blobs(table: pa.Table, name: str, kind: type | np.dtype) -> np.ndarray:
@@ -195,7 +217,7 @@ def _blobs(table: pa.Table, name: str, kind: type | np.dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, kind)
 
 
-def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text", result: str = "repeats", as_text: bool = False, batch_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text", result: str = "repeats", as_text: bool = False, batch_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` with a struct column: ``kept`` (what is left), n_bytes, n_removed, n_spans.
 
     ``kept`` is binary; ``as_text`` makes it a string, from which characters that a cut has split are
@@ -244,24 +266,21 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
         several = (owner[lasts] > owner[starts]).astype(np.uint8)
         gram, context_, owner = gram[starts], context_[starts], owner[starts]
         bucket = bucket_of(gram)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((owner, bucket))
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
         batch = table[batch_col][0].as_py()
         rows = []
         for b in range(buckets):
             own = order[cuts[b] : cuts[b + 1]]
             if len(own):
-                # ids by planes of equal bytes: the empty ones vanish when the shuffle compresses
-                planes = owner[own].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
-                rows.append((batch, b, gram[own].tobytes(), context_[own].tobytes(), planes, several[own].tobytes()))
+                rows.append((batch, b, _packed(gram[own]), _packed(context_[own]), _packed_ids(owner[own]), several[own].tobytes()))
         return _table(rows, blob)
 
     def decided(table: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
         """Rows of shared grams, sorted by gram, context, least id: gram, context, least, batch, class number, gram number."""
-        gram, context_ = _blobs(table, "gram", np.uint64), _blobs(table, "context", np.uint64)
-        least = np.concatenate([np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view("<i8").ravel() for x in table["least"].to_pylist()])
+        gram, context_, least = _unpacked(table, "gram"), _unpacked(table, "context"), _unpacked_ids(table, "least")
         several = _blobs(table, "several", np.uint8)
-        batch = np.repeat(table["batch"].to_numpy(), [len(x) // 8 for x in table["gram"].to_pylist()])
+        batch = np.repeat(table["batch"].to_numpy(), [len(x) // 6 for x in table["gram"].to_pylist()])
         order = np.argsort(gram, kind="stable")
         # grams of a single row and a single document go first: nearly all of them
         g = gram[order]
