@@ -155,6 +155,7 @@ def score_toxicity(
         model.fit([(where, damped(n[has])) for (where, has), n in placed], grades)
     else:
         model.cuts += 30
+        limit = 1.0
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = {int(b): float(w) for b, w in zip(model.at, model.weights)}
