@@ -168,7 +168,7 @@ def score_quality(docs: DataFrame, sample: int = 4000, threshold: float = 0.5, b
     weights, bias = np.zeros(bins), 0.0
     if len(drawn):
         soft = posterior(drawn[names].to_numpy(int), prior, accuracy)
-        weights, bias = fit_scorer(list(zip(drawn["at"], drawn["value"])), soft, bins)
+        weights, bias = fit_scorer([(np.asarray(at), np.asarray(value)) for at, value in zip(drawn["at"], drawn["value"])], soft, bins)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
