@@ -141,6 +141,7 @@ def score_toxicity(
     by_bin = texts.select("toxic", F.explode("at").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("held"), F.sum("toxic").alias("bad"))
     held = by_bin.toPandas()  # as many as the sample has words, and bins at most
     fitted = texts.orderBy(DIGEST).limit(sample).toPandas()
+    at_of, n_of = ([np.asarray(x) for x in fitted[c]] for c in ("at", "n"))
     bad_texts = int(fitted["toxic"].sum()) if len(fitted) else 0
     limit = bad_texts / max(len(fitted), 1) if threshold is None else threshold
     model = CumulativeLink(np.empty(0, np.int64), len(STEPS) + 2)
@@ -149,9 +150,9 @@ def score_toxicity(
         of_toxic = tells & (held["bad"] > 0.9 * held["held"]).to_numpy()
         model = CumulativeLink(np.sort(held["bin"].to_numpy()[tells]), len(STEPS) + 2)
         marks = np.sort(held["bin"].to_numpy()[of_toxic])
-        marked = np.array([n[np.isin(at, marks)].sum() / max(1, words) for at, n, words in zip(fitted["at"], fitted["n"], fitted["words"])])
+        marked = np.array([n[np.isin(at, marks)].sum() / max(1, words) for at, n, words in zip(at_of, n_of, fitted["words"])])
         grades = np.where(fitted["toxic"] > 0, 1 + np.searchsorted(np.array(STEPS), marked, side="right"), 0)
-        placed = ((model.place(at), n) for at, n in zip(fitted["at"], fitted["n"]))
+        placed = ((model.place(at), n) for at, n in zip(at_of, n_of))
         model.fit([(where, damped(n[has])) for (where, has), n in placed], grades)
     else:
         model.cuts += 30
