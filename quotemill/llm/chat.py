@@ -66,32 +66,35 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     inner = pointer.where("far IS NOT NULL").select("tree", F.col("far").alias("node")).distinct()
     leaves = null_safe(pointer, inner, ["tree", "node"], "left_anti").select("tree", "node")
     largest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    steps = [pointer]
+    # a node that has reached its root is done; only the others take the next step
+    done, steps = pointer.where("far IS NULL"), [pointer.where("far IS NOT NULL")]
     # after so many doublings only pointers that circle are left
-    while 2 ** (len(steps) - 1) < largest and not steps[-1].where("far IS NOT NULL").isEmpty():
+    while 2 ** (len(steps) - 1) < largest and not steps[-1].isEmpty():
         last = steps[-1]
-        onward = last.select("tree", F.col("node").alias("far"), F.col("far").alias("farther"), F.col("total").alias("more"), F.col("length").alias("longer"))
-        steps.append(
-            settle(
-                null_safe(last, onward, ["tree", "far"]).select(
-                    "tree",
-                    "node",
-                    F.col("farther").alias("far"),
-                    (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
-                    (F.col("length") + F.coalesce("longer", F.lit(0))).alias("length"),
-                )
+        onward = done.unionByName(last).select(
+            "tree", F.col("node").alias("far"), F.col("far").alias("farther"), F.col("total").alias("more"), F.col("length").alias("longer")
+        )
+        moved = settle(
+            null_safe(last, onward, ["tree", "far"], "inner").select(
+                "tree",
+                "node",
+                F.col("farther").alias("far"),
+                (F.col("total") + F.col("more")).alias("total"),
+                (F.col("length") + F.col("longer")).alias("length"),
             )
         )
-    done = null_safe(leaves, steps[-1], ["tree", "node"], "inner").where("far IS NULL")
+        done = done.unionByName(moved.where("far IS NULL"))
+        steps.append(moved.where("far IS NOT NULL"))
+    whole = null_safe(leaves, done, ["tree", "node"], "inner")
     best = Window.partitionBy("tree").orderBy(F.desc("mean"), "node")
     chosen = (
-        done.select("tree", "node", (F.col("total") / F.col("length")).alias("mean"))
+        whole.select("tree", "node", (F.col("total") / F.col("length")).alias("mean"))
         .withColumn("branch", F.row_number().over(best))
         .where(F.col("branch") <= branches)
     )
     walk = chosen.select("tree", F.col("node").alias("leaf"), "branch", F.col("mean").alias("score"), "node", F.lit(0).cast("long").alias("up"))
     for level in reversed(range(len(steps) - 1)):
-        jump = steps[level].where("far IS NOT NULL").select("tree", "node", "far")
+        jump = steps[level].select("tree", "node", "far")
         further = null_safe(walk, jump, ["tree", "node"], "inner").withColumn("node", F.col("far")).withColumn("up", F.col("up") + 2**level)
         walk = settle(walk.unionByName(further.drop("far")))
     return walk
