@@ -7,21 +7,21 @@ and only a short list of node types is accepted.
 from __future__ import annotations
 
 import ast
+import math
 from collections.abc import Callable, Iterable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Call patterns that are refused, operator look-alikes, and known function names.
+# Call patterns that are refused, and operator look-alikes.
 FORBIDDEN_CALLS = (".shift(", ".rolling(", ".mean(", ".std(", ".sum(", ".max(", ".min(")
 LOOKALIKES = {"×": "*", "÷": "/", "−": "-", "≥": ">=", "≤": "<="}
-FUNCTION_NAMES = ("np", "abs", "log", "sqrt", "exp", "mean", "std", "sum", "max", "min")
 
 POLARITY_SUFFIX = "_polarity"
-_NAME = r"\b[a-zA-Z_][a-zA-Z0-9_]*\b"
+#: Levels of nesting a formula may have; a chain of terms nests once a term.
+MAX_DEPTH = 200
 
 
 class FormulaError(ValueError):
@@ -51,14 +51,14 @@ def formula_problem(text: Column | str, columns: Iterable[str], partners: Column
     """Why a cleaned formula is refused, else NULL.
 
     ``columns`` are the feature names. ``partners`` is an array column with the codes whose
-    ``<code>_polarity`` the row may use; without it every polarity name is accepted.
+    ``<code>_polarity`` the row may use; without it every polarity name is accepted. Polarity names
+    are read in any case.
     """
     text = _col(text)
-    names = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({_NAME})"), F.lit(1)))
-    known = F.array(*[F.lit(c) for c in (*columns, *FUNCTION_NAMES)])
-    unknown = F.array_except(names, known)
+    reading = _reading(text)
+    unknown = F.array_except(reading["names"], F.array(*[F.lit(c) for c in columns]).cast("array<string>"))
     if partners is None:
-        unknown = F.filter(unknown, lambda n: ~n.endswith(POLARITY_SUFFIX))
+        unknown = F.filter(unknown, lambda n: ~F.lower(n).endswith(POLARITY_SUFFIX))
     else:
         allowed = F.transform(partners, lambda c: F.concat(F.lower(c), F.lit(POLARITY_SUFFIX)))
         unknown = F.filter(unknown, lambda n: ~F.array_contains(allowed, F.lower(n)))
@@ -69,35 +69,69 @@ def formula_problem(text: Column | str, columns: Iterable[str], partners: Column
         .when(forbidden_call(text).isNotNull(), F.concat(F.lit("forbidden call "), forbidden_call(text)))
         .when(F.size(unknown) > 0, F.concat(F.lit("unknown name "), F.array_join(F.array_sort(unknown), ", ")))
         .when(opened != closed, "unbalanced brackets")
-        .otherwise(syntax_problem(text))
+        .otherwise(reading["problem"])
     )
 
 
-@F.pandas_udf(T.StringType())
-def syntax_problem(texts: pd.Series) -> pd.Series:
-    """Grammar check of the few distinct formulas of a catalogue."""
+@F.pandas_udf(T.StructType([T.StructField("names", T.ArrayType(T.StringType())), T.StructField("problem", T.StringType())]))
+def _reading(texts: pd.Series) -> pd.DataFrame:
+    """Names and grammar problem of each of the few distinct formulas of a catalogue."""
+    return pd.DataFrame([(_names(text or ""), _problem(text or "")) for text in texts], columns=["names", "problem"])
 
-    def check(text: str | None) -> str | None:
-        try:
-            parse(text or "")
-        except FormulaError as error:
-            return str(error)
-        return None
 
-    return texts.map(check)
+def _names(text: str) -> list[str]:
+    """Names that a readable formula looks up: all but those of its calls."""
+    try:
+        nodes = list(ast.walk(_tree(text)))
+    except FormulaError:
+        return []
+    called = {id(n.func) for n in nodes if isinstance(n, ast.Call)}
+    return sorted({n.id for n in nodes if isinstance(n, ast.Name) and id(n) not in called})
 
 
-def parse(text: str) -> ast.expr:
-    """The expression tree, with only numbers, names, + - * /, comparisons and four functions."""
+def _problem(text: str) -> str | None:
     try:
-        tree = ast.parse(text.strip(), mode="eval").body
+        parse(text)
+    except FormulaError as error:
+        return str(error)
+    return None
+
+
+def _tree(text: str) -> ast.expr:
+    try:
+        return ast.parse(text.strip(), mode="eval").body
     except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
         raise FormulaError("syntax error") from error
+
+
+def _too_deep(tree: ast.expr) -> bool:
+    level = [tree]
+    for _ in range(MAX_DEPTH):
+        level = [child for node in level for child in ast.iter_child_nodes(node) if isinstance(child, ast.expr)]
+        if not level:
+            return False
+    return True
+
+
+def _is_finite(value: float) -> bool:
+    try:
+        return math.isfinite(float(value))
+    except OverflowError:
+        return False
+
+
+def parse(text: str) -> ast.expr:
+    """The expression tree, with only numbers, names, + - * /, comparisons and four functions."""
+    tree = _tree(text)
+    if _too_deep(tree):
+        raise FormulaError("nested too deeply")
     for node in ast.walk(tree):
         if isinstance(node, ast.Constant) and type(node.value) not in (int, float):
             raise FormulaError("only numbers are allowed")
+        if isinstance(node, ast.Constant) and not _is_finite(node.value):
+            raise FormulaError("number too large")
         if isinstance(node, ast.Call) and not (
-            isinstance(node.func, ast.Name) and node.func.id in _NUMPY_CALLS and len(node.args) == 1 and not node.keywords
+            isinstance(node.func, ast.Name) and node.func.id in _CALLS and len(node.args) == 1 and not node.keywords
         ):
             raise FormulaError("call not allowed")
         if isinstance(node, ast.Compare) and len(node.ops) != 1:
@@ -111,8 +145,7 @@ _ALLOWED = (
     ast.BinOp, ast.UnaryOp, ast.Compare, ast.Call, ast.Name, ast.Load, ast.Constant,
     ast.Add, ast.Sub, ast.Mult, ast.Div, ast.UAdd, ast.USub, ast.Gt, ast.GtE, ast.Lt, ast.LtE,
 )
-_NUMPY_CALLS = {"abs": np.abs, "log": np.log, "sqrt": np.sqrt, "exp": np.exp}
-_COLUMN_CALLS = {
+_CALLS = {
     "abs": F.abs,
     "log": lambda c: F.when(c > 0, F.log(c)),
     "sqrt": lambda c: F.when(c >= 0, F.sqrt(c)),
@@ -120,51 +153,34 @@ _COLUMN_CALLS = {
 }
 
 
-def _fold(node: ast.expr, name: Callable, number: Callable, divide: Callable, truth: Callable, calls: dict):
-    """One walk for both targets: columns and numpy arrays share Python's operators."""
+def formula_column(text: str, lookup: Callable[[str], Column] | None = None) -> Column:
+    """The formula as a double column. Division by zero and other undefined values give NULL."""
+    find = lookup or (lambda n: F.col(n).cast("double"))
 
-    def walk(n: ast.expr):
+    def walk(n: ast.expr) -> Column:
         if isinstance(n, ast.Name):
-            return name(n.id)
+            return find(n.id)
         if isinstance(n, ast.Constant):
-            return number(float(n.value))
+            return F.lit(float(n.value))
         if isinstance(n, ast.UnaryOp):
             value = walk(n.operand)
             return -value if isinstance(n.op, ast.USub) else value
         if isinstance(n, ast.Call):
-            return calls[n.func.id](walk(n.args[0]))
+            return _CALLS[n.func.id](walk(n.args[0]))
         if isinstance(n, ast.Compare):
             left, right, op = walk(n.left), walk(n.comparators[0]), n.ops[0]
             if isinstance(op, ast.Gt):
-                return truth(left > right)
-            if isinstance(op, ast.GtE):
-                return truth(left >= right)
-            return truth(left < right if isinstance(op, ast.Lt) else left <= right)
+                holds = left > right
+            elif isinstance(op, ast.GtE):
+                holds = left >= right
+            else:
+                holds = left < right if isinstance(op, ast.Lt) else left <= right
+            return holds.cast("int").cast("double")
         left, right = walk(n.left), walk(n.right)
         if isinstance(n.op, ast.Add):
             return left + right
         if isinstance(n.op, ast.Sub):
             return left - right
-        return left * right if isinstance(n.op, ast.Mult) else divide(left, right)
-
-    return walk(node)
-
-
-def formula_column(text: str, lookup: Callable[[str], Column] | None = None) -> Column:
-    """The formula as a double column. Division by zero and other undefined values give NULL."""
-    find = lookup or (lambda n: F.col(n).cast("double"))
-    return _fold(
-        parse(text), find, F.lit, F.try_divide, lambda c: c.cast("int").cast("double"), _COLUMN_CALLS
-    ).cast("double")
-
-
-def formula_values(tree: ast.expr, lookup: Callable[[str], np.ndarray]) -> np.ndarray:
-    """The same on numpy arrays, for batches inside a task; undefined values come out as NaN."""
-
-    def divide(left, right):
-        return np.divide(left, np.where(np.asarray(right) == 0, np.nan, right))
+        return left * right if isinstance(n.op, ast.Mult) else F.try_divide(left, right)
 
-    with np.errstate(all="ignore"):
-        out = _fold(tree, lookup, np.float64, divide, lambda a: np.asarray(a, dtype="float64"), _NUMPY_CALLS)
-    out = np.asarray(out, dtype="float64")
-    return np.where(np.isfinite(out), out, np.nan)
+    return walk(parse(text)).cast("double")

@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,8 +15,6 @@ from quotemill.functions.formula import (
     forbidden_call,
     formula_column,
     formula_problem,
-    formula_values,
-    parse,
 )
 from quotemill.functions.scalars import finite_or_null
 from quotemill.operators.indicators import BASE_COLUMNS, FEATURES, forward_return
@@ -28,8 +23,8 @@ from quotemill.session import settle
 NUMERIC = (*BASE_COLUMNS, *FEATURES)
 FORMULAS_PER_STOCK = 5
 MIN_SAMPLES = 10
-# Up to this many distinct formulas become columns of one select; more are computed in batches.
-COLUMN_FORMULAS = 100
+# This many distinct formulas share one pass over the features, which bounds the size of its plan.
+FORMULAS_A_PASS = 100
 
 
 def checked_formulas(catalog: DataFrame, features: DataFrame | None = None) -> DataFrame:
@@ -40,14 +35,15 @@ def checked_formulas(catalog: DataFrame, features: DataFrame | None = None) -> D
     rows = catalog.select("stock_code", "formula").distinct().withColumn("expression", clean_formula("formula"))
     if features is None:
         return rows.withColumn("problem", formula_problem("expression", NUMERIC))
-    partners = features.groupBy("stock_code").agg(F.max(F.to_json(F.map_keys("related_polarity"))).alias("_codes"))
-    codes = F.array_append(F.coalesce(F.from_json("_codes", "array<string>"), F.array()), F.lower("stock_code"))
+    named = features.select("stock_code", F.explode(F.map_keys("related_polarity")).alias("_code"))
+    partners = named.groupBy("stock_code").agg(F.collect_set("_code").alias("_codes"))
+    codes = F.array_append(F.coalesce("_codes", F.array().cast("array<string>")), F.lower("stock_code"))
     joined = rows.join(partners, "stock_code", "left")
     return joined.withColumn("problem", formula_problem("expression", NUMERIC, codes)).drop("_codes")
 
 
 def _lookup(name: str) -> Column:
-    if not name.endswith(POLARITY_SUFFIX):
+    if not name.lower().endswith(POLARITY_SUFFIX):
         return F.col(name).cast("double")
     code = name[: -len(POLARITY_SUFFIX)].lower()
     own = F.lower("stock_code") == code
@@ -57,57 +53,31 @@ def _lookup(name: str) -> Column:
 def apply_alphas(features: DataFrame, catalog: DataFrame) -> DataFrame:
     """Long table (stock_code, trade_date, formula, value) of each stock's own usable formulas.
 
-    A value that is undefined or infinite is NULL.
+    A value that is undefined or infinite is NULL. A row meets only its own stock's formulas, and
+    computes each of them alone; the catalogue's distinct formulas are known to the driver.
     """
     good = checked_formulas(catalog, features).filter(F.col("problem").isNull()).drop("problem")
-    few = [r[0] for r in good.select("expression").distinct().limit(COLUMN_FORMULAS + 1).collect()]
-    if len(few) <= COLUMN_FORMULAS:
-        return _apply_as_columns(features, good, sorted(few))
-    return _apply_in_batches(features, good)
-
-
-def _apply_as_columns(features: DataFrame, good: DataFrame, expressions: list[str]) -> DataFrame:
-    """Every stock's formulas come as one short list; each known expression is computed where listed."""
-    if not expressions:
+    expressions = sorted(r[0] for r in good.select("expression").distinct().collect())
+    out = None
+    for at in range(0, len(expressions), FORMULAS_A_PASS):
+        part = _apply_some(features, good, expressions[at : at + FORMULAS_A_PASS])
+        out = part if out is None else out.unionByName(part)
+    if out is None:
         return features.sparkSession.createDataFrame(
             [], "stock_code string, trade_date date, formula string, value double"
         )
-    own = good.groupBy("stock_code").agg(F.collect_set(F.struct("expression", "formula")).alias("_own"))
-    values = F.create_map(
-        *[x for e in expressions for x in (F.lit(e), F.when(F.array_contains("_own.expression", e), formula_column(e, _lookup)))]
-    )
-    rows = features.join(own, "stock_code").select(
-        "stock_code", "trade_date", values.alias("_values"), F.explode("_own").alias("_f")
-    )
-    value = finite_or_null(F.try_element_at("_values", F.col("_f.expression")))
-    return rows.select("stock_code", "trade_date", F.col("_f.formula").alias("formula"), value.alias("value"))
-
-
-def _apply_in_batches(features: DataFrame, good: DataFrame) -> DataFrame:
-    """Any number of formulas: rows meet their own formulas, Arrow batches compute them by formula."""
-    wide = features.select("stock_code", "trade_date", *NUMERIC, "polarity", "related_polarity")
-    rows = wide.join(good, "stock_code")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree = lru_cache(maxsize=10_000)(parse)
-        for pdf in batches:
-            out = np.full(len(pdf), np.nan)
-            for (expression, stock), where in pdf.groupby(["expression", "stock_code"]).indices.items():
-                part = pdf.iloc[where]
-
-                def find(name: str) -> np.ndarray:
-                    if not name.endswith(POLARITY_SUFFIX):
-                        return part[name].to_numpy("float64")
-                    code = name[: -len(POLARITY_SUFFIX)].lower()
-                    if code == stock.lower():
-                        return part["polarity"].to_numpy("float64")
-                    return np.array([dict(m).get(code, np.nan) for m in part["related_polarity"]], "float64")
-
-                out[where] = formula_values(tree(expression), find)
-            yield pdf[["stock_code", "trade_date", "formula"]].assign(value=out)
-
-    computed = rows.mapInPandas(run, "stock_code string, trade_date date, formula string, value double")
-    return computed.withColumn("value", finite_or_null("value"))
+    return out
+
+
+def _apply_some(features: DataFrame, good: DataFrame, expressions: list[str]) -> DataFrame:
+    """Each stock's own among these formulas come as one short list, a row for each of them."""
+    listed = good.filter(F.col("expression").isin(expressions))
+    own = listed.groupBy("stock_code").agg(F.collect_set(F.struct("expression", "formula")).alias("_own"))
+    rows = features.join(own, "stock_code").withColumn("_f", F.explode("_own"))
+    value = F
+    for expression in expressions:
+        value = value.when(F.col("_f.expression") == expression, formula_column(expression, _lookup))
+    return rows.select("stock_code", "trade_date", F.col("_f.formula").alias("formula"), finite_or_null(value).alias("value"))
 
 
 def _tied_rank(over: list[str], value: str) -> Column:

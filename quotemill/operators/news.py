@@ -153,15 +153,20 @@ def score_articles(
     """
     seen = F.coalesce("content", F.lit(""))
     seen = seen if chars is None else F.substring(seen, 1, chars)
-    text = word_score(seen) if text_scorer is None else _guarded(text_scorer)(seen)
-    pdf = F.lit(0.0) if pdf_scorer is None else _guarded(pdf_scorer)(F.coalesce("pdf_link", "link"))
+    # Spark runs Python functions on all rows, so each scorer is given NULL for those of the other
+    is_pdf = F.coalesce("is_pdf", F.lit(False))
+    text = word_score(seen) if text_scorer is None else _guarded(text_scorer)(F.when(~is_pdf, seen))
+    pdf = F.lit(0.0) if pdf_scorer is None else _guarded(pdf_scorer)(F.when(is_pdf, F.coalesce("pdf_link", "link")))
     score = F.when(F.col("is_pdf"), pdf).otherwise(text)
     score = F.when(F.isnan(score), 0.0).otherwise(F.coalesce(score, F.lit(0.0)))
     return news.withColumn("sentiment_score", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)))
 
 
 def _guarded(scorer: Callable[[pd.Series], pd.Series]):
-    """A batch that the scorer cannot handle is tried row by row, so one bad row costs only itself."""
+    """The scorer on all rows that aren't NULL.
+
+    A batch that it cannot handle is tried row by row, so one bad row costs only itself.
+    """
 
     def one(value: str) -> float | None:
         try:
@@ -172,9 +177,12 @@ def _guarded(scorer: Callable[[pd.Series], pd.Series]):
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for values in batches:
-            try:
-                yield scorer(values).astype("float64")
-            except Exception:
-                yield values.map(one).astype("float64")
+            out, own = pd.Series(float("nan"), values.index), values[values.notna()]
+            if len(own):
+                try:
+                    out[own.index] = scorer(own).astype("float64").to_numpy()
+                except Exception:
+                    out[own.index] = own.map(one).astype("float64")
+            yield out
 
     return run

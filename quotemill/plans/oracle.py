@@ -486,7 +486,7 @@ SELECT 'bars' AS table_name, count(*) AS n_rows FROM bars UNION ALL SELECT 'news
 UNION ALL SELECT 'dim_stock', count(*) FROM codes UNION ALL SELECT 'predictions', count(*) FROM predictions""",
     "run_summary": f"""WITH {BARS}
 SELECT count(*) AS total, count(*) FILTER (WHERE NOT close > 2000) AS success, count(*) FILTER (WHERE close > 2000) AS failed
-FROM (SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY trade_date DESC) AS rn FROM bars) WHERE rn <= 20""",
+FROM bars""",
     "formula_audit": f"""WITH {BARS}, s AS (SELECT DISTINCT stock_code FROM bars)
 SELECT stock_code, 'wrong number of formulas' AS issue, '{len(CHECKED_FORMULAS)}' AS detail FROM s
 UNION ALL SELECT stock_code, 'forbidden call', 'close.shift(1)' FROM s""",

@@ -494,10 +494,9 @@ def table_counts(t):
 
 
 def _results(t):
-    """Prediction results: stocks whose newest close is high count as failed."""
-    newest = pr.tail_by_key(t.bars, 20)
+    """Prediction results: bars with a high close count as failed."""
     failed = F.when(F.col("close") > 2000, F.concat(F.lit("price "), F.col("stock_code")))
-    return newest.select("stock_code", F.col("close").alias("predicted_price"), failed.alias("error"))
+    return t.bars.select("stock_code", F.col("close").alias("predicted_price"), failed.alias("error"))
 
 
 @query
@@ -864,7 +863,7 @@ def best_alphas(t):
 @query
 def validated_models(t):
     columns = ["open", "high", "low", "volume"]
-    trained = pr.train_and_validate(t.bars.select("stock_code", "trade_date", "close", *columns), columns, trees=5)
+    trained = pr.train_and_validate(t.bars.select("stock_code", "trade_date", "close", *columns), columns)
     return trained.best()
 
 
@@ -1105,7 +1104,7 @@ def prediction_run(t):
     root = scratch(t.spark, "warehouse")
     return jobs.predict_all(
         t.bars, t.news, t.dim_stock, t.catalog, jobs.warehouse_tables(root), jobs.ModelStore(f"{root}/models"),
-        dt.date(2001, 1, 2), "20010101_230000", trees=5,
+        dt.date(2001, 1, 2), "20010101_230000",
     ).select("stock_code", "predicted_price", "model_name", "confidence", "saved", "error")
 
 

@@ -111,20 +111,26 @@ class _Page(HTMLParser):
 
 
 def extract_articles(pages: DataFrame, layout: Layout | None = None, html: str = "html") -> DataFrame:
-    """Add title, links, date text, PDF flag, joined paragraphs and PDF link to each page."""
+    """Add title, links, date text, PDF flag, joined paragraphs and PDF link to each page.
+
+    A page that can't be read to its end keeps what was read; ``problem`` says why.
+    """
     layout = layout or Layout()
-    schema = "title string, links array<string>, date string, is_pdf boolean, content string, pdf_link string"
+    schema = "title string, links array<string>, date string, is_pdf boolean, content string, pdf_link string, problem string"
 
     @F.pandas_udf(schema)
     def read_page(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for text in texts:
-                page = _Page(layout)
-                page.feed(text or "")
-                page.close()
-                rows.append(page.row())
-            yield pd.DataFrame(rows, columns=["title", "links", "date", "is_pdf", "content", "pdf_link"])
+                page, problem = _Page(layout), None
+                try:
+                    page.feed(text or "")
+                    page.close()
+                except (AssertionError, ValueError) as error:  # what the parser raises on broken markup
+                    problem = str(error)
+                rows.append((*page.row(), problem))
+            yield pd.DataFrame(rows, columns=["title", "links", "date", "is_pdf", "content", "pdf_link", "problem"])
 
     keep = [c for c in pages.columns if c != html]
     return pages.select(*keep, read_page(html).alias("_a")).select(*keep, "_a.*")

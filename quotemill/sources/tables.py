@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 # Above this many touched partitions their list is joined instead of being written into the filter.
 LISTED_PARTITIONS = 1000
+# Fixed value: how Spark names the folder of rows whose partition value is NULL.
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 
 
 @dataclass(frozen=True)
@@ -81,6 +83,13 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return df.groupBy(*keys).agg(row.alias("_row")).select(*keys, "_row.*").select(*df.columns)
 
 
+def _meet(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on ``keys`` where NULL meets NULL; the keys of ``left`` stay."""
+    renamed = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    joined = left.join(renamed, [left[k].eqNullSafe(renamed[f"_key_{k}"]) for k in keys], how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_key_{k}" for k in keys])
+
+
 def merge(
     target: DataFrame,
     updates: DataFrame,
@@ -90,17 +99,18 @@ def merge(
 ) -> DataFrame:
     """The table after INSERT .. ON CONFLICT, for updates with one row per key.
 
-    ``update_cols`` are overwritten on a known key, the other columns keep their stored value.
+    ``update_cols`` are overwritten on a known key, the other columns keep their stored value. A NULL
+    in a key is a value like any other.
     """
     if do_nothing:
-        fresh = updates.join(target.select(*keys), list(keys), "left_anti")
+        fresh = _meet(updates, target.select(*keys), keys, "left_anti")
         return target.unionByName(fresh)
-    kept = target.join(updates.select(*keys), list(keys), "left_anti")
+    kept = _meet(target, updates.select(*keys), keys, "left_anti")
     if update_cols is None:
         return kept.unionByName(updates.select(*target.columns))
     stay = [c for c in target.columns if c not in keys and c not in update_cols]
     old = target.select(*keys, F.lit(True).alias("_known"), *[F.col(c).alias(f"_old_{c}") for c in stay])
-    joined = updates.join(old, list(keys), "left")
+    joined = _meet(updates, old, keys, "left")
     new = joined.select(
         *[
             F.when(F.col("_known"), F.col(f"_old_{c}")).otherwise(F.col(c)).alias(c) if c in stay else F.col(c)
@@ -111,11 +121,12 @@ def merge(
 
 
 def _only(table: Table, stored: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Stored rows of the partitions listed in ``wanted``."""
+    """Stored rows of the partitions listed in ``wanted``, that of NULL included."""
     listed = [r[0] for r in wanted.limit(LISTED_PARTITIONS + 1).collect()]
     if len(listed) > LISTED_PARTITIONS:
-        return stored.join(wanted, table.partition, "left_semi")
-    return stored.filter(F.col(table.partition).isin(listed))
+        return _meet(stored, wanted, [table.partition], "left_semi")
+    named = F.col(table.partition).isin([v for v in listed if v is not None])
+    return stored.filter(named | F.col(table.partition).isNull() if None in listed else named)
 
 
 def _overwrite(table: Table, merged: DataFrame) -> None:
@@ -152,13 +163,13 @@ def upsert(
 
 
 def without_keys(target: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return target.join(gone.select(*keys).distinct(), list(keys), "left_anti")
+    return _meet(target, gone.select(*keys).distinct(), keys, "left_anti")
 
 
 def _rewrite(table: Table, keys: Sequence[str], gone: DataFrame, fresh: DataFrame | None) -> None:
     spark = gone.sparkSession
     stored = table._stored(spark)
-    touched = stored.join(gone.select(*keys).distinct(), list(keys), "left_semi").select(table.partition)
+    touched = _meet(stored, gone.select(*keys).distinct(), keys, "left_semi").select(table.partition)
     new_rows = None if fresh is None else table.shaped(last_per_key(fresh, table.keys)).persist()
     if new_rows is not None:
         touched = touched.union(new_rows.select(table.partition))
@@ -167,12 +178,12 @@ def _rewrite(table: Table, keys: Sequence[str], gone: DataFrame, fresh: DataFram
         merged = without_keys(_only(table, stored, touched), gone, keys)
         if new_rows is not None:
             merged = merged.unionByName(new_rows)
-        empty = touched.join(merged.select(table.partition).distinct(), table.partition, "left_anti")
+        empty = _meet(touched, merged.select(table.partition).distinct(), [table.partition], "left_anti")
         emptied = [r[0] for r in empty.collect()]
         _overwrite(table, merged)
         # the overwrite leaves a partition without rows as it was, so its folder is removed
         for value in emptied:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{table.path}/{table.partition}={value}")
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{table.path}/{table.partition}={NULL_FOLDER if value is None else value}")
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     finally:
         touched.unpersist()

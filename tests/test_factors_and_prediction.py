@@ -88,13 +88,15 @@ CATALOG = [
 ]
 
 
-def test_apply_alphas_both_ways(spark, rows):
+def test_apply_alphas(spark, rows):
     f = features(spark).unionByName(features(spark, code="B", seed=2))
     catalog = spark.createDataFrame(CATALOG, "stock_code string, formula string")
     by_column = al.apply_alphas(f, catalog)
-    good = al.checked_formulas(catalog, f).filter("problem is null")
-    in_batches = al._apply_in_batches(f, good)
-    assert rows(by_column) == rows(in_batches)
+    many = spark.createDataFrame([("B", f"close + {i}") for i in range(120)] + [("B", "(open / (volume - 100) > 0) + 1"), ("B", "A_Polarity")], catalog.schema)
+    of_many = al.apply_alphas(f, catalog.unionByName(many))
+    assert rows(of_many.filter("stock_code = 'A'")) == rows(by_column.filter("stock_code = 'A'"))
+    assert of_many.filter("stock_code = 'B'").select("formula").distinct().count() == 122
+    assert of_many.filter("formula like '%> 0%' and value is not null").count() == 0
     kinds = {(r["stock_code"], r["formula"]) for r in by_column.select("stock_code", "formula").distinct().collect()}
     assert kinds == {("A", "Alpha1 = close - open"), ("A", "a_polarity + vcb_polarity"), ("A", "close / (volume - 100)"), ("A", "close >= open"), ("B", "close")}
     polar = by_column.filter("formula like '%vcb%'").agg(F.min("value"), F.max("value")).first()

@@ -2,6 +2,7 @@ import datetime as dt
 import os
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quotemill import schemas
 from quotemill.sources import articles as ar
@@ -150,3 +151,19 @@ def test_extract_articles(spark):
     assert {r["page_id"]: r["content"] for r in whole.collect()}[4] == "open"
     links = ar.article_links(pages, "page_id").collect()
     assert sorted((r["page_id"], r["link"]) for r in links) == [(1, "/one"), (2, "f.pdf")]
+
+
+def test_rows_without_a_date_stay(spark, tmp_path):
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("d", T.DateType()), T.StructField("v", T.IntegerType())])
+    table = tb.Table(str(tmp_path / "t"), schema, ("k", "d"), "d")
+    for k in ("a", "b", "a"):
+        tb.upsert(table, spark.createDataFrame([(k, None, 1)], schema))
+    assert sorted(r["k"] for r in table.read(spark).collect()) == ["a", "b"]
+    tb.delete_by_key(table, spark.createDataFrame([("a",), ("b",)], "k string"), ["k"])
+    assert table.read(spark).count() == 0
+
+
+def test_broken_page_keeps_what_was_read(spark):
+    pages = spark.createDataFrame([(1, "<title>x</title><![foo bar"), (2, "<title>y</title>")], "id int, html string")
+    got = {r["id"]: r for r in ar.extract_articles(pages).collect()}
+    assert (got[1]["title"], got[2]["title"], got[2]["problem"]) == ("x", "y", None) and got[1]["problem"]
