@@ -5,6 +5,60 @@ from __future__ import annotations
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_AZ}', '{_az}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _merkle(levels: int = 9) -> str:
+    """Trees of 16 ** ``levels`` leaves at most, level by level; both trees are the same CTEs over other nodes."""
+
+    def field(c: str) -> str:
+        return f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def tree(name: str, nodes: str) -> str:
+        out = [f"{name}0 AS ({nodes})"]
+        for k in range(1, levels + 1):
+            out.append(
+                f"{name}{k} AS (SELECT tree, p // 16 AS p, sha256(string_agg(h, '' ORDER BY p)) AS h, (any_value(n) + 15) // 16 AS n FROM {name}{k - 1} WHERE n > 1 GROUP BY tree, p // 16 "
+                f"UNION ALL SELECT * FROM {name}{k - 1} WHERE n = 1)"
+            )
+        runs = " UNION ALL ".join(f"SELECT tree, {k} AS k, p // 16 AS up, list(h ORDER BY p) AS run FROM {name}{k} WHERE n > 1 GROUP BY tree, p // 16" for k in range(levels))
+        out.append(f"{name}_runs AS ({runs})")
+        return ", ".join(out)
+
+    def fold(name: str, start: str) -> str:
+        """Step by step: place and digest of the changed node, and the siblings so far."""
+        out = [start]
+        for k in range(levels):
+            out.append(
+                f"{name}_f{k + 1} AS (SELECT f.doc_id, f.tree, CASE WHEN r.run IS NULL THEN f.p ELSE f.p // 16 END AS p, "
+                "CASE WHEN r.run IS NULL THEN f.h ELSE sha256(array_to_string(list_concat(list_concat(r.run[1:f.p % 16], [f.h]), r.run[f.p % 16 + 2:]), '')) END AS h, "
+                "f.sib || CASE WHEN r.run IS NULL THEN '' ELSE array_to_string(list_concat(r.run[1:f.p % 16], r.run[f.p % 16 + 2:]), '') END AS sib "
+                f"FROM {name}_f{k} f LEFT JOIN {name}_runs r ON r.tree = f.tree AND r.k = {k} AND r.up = f.p // 16)"
+            )
+        return ", ".join(out)
+
+    # crc32 bit by bit: its reversed polynomial is 3988292384
+    crc = (
+        "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i::INT, 1))::UBIGINT)), "
+        "lambda c, b: list_reduce(list_prepend(xor(c, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))), 4294967295::UBIGINT)"
+    )
+    lowered = f"translate(text, '{_AZ}', '{_az}')"
+    leaves = (
+        f"docs AS (SELECT doc_id, coalesce('=' || source, '-') AS tree, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(lowered)} ELSE {leaf('text')} END AS now FROM documents), "
+        "ranked AS (SELECT *, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY tree) AS n FROM docs WINDOW w AS (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf))"
+    )
+    tops = f"SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS p, h, count(*) OVER () AS n, tree AS of FROM s{levels}"
+    return f"""
+WITH {leaves}, {tree("s", "SELECT tree, p, leaf AS h, n FROM ranked")},
+subroots AS ({tops}), {tree("t", "SELECT tree, p, h, n FROM subroots")},
+{fold("s", "s_f0 AS (SELECT doc_id, tree, p, now AS h, '' AS sib FROM ranked)")},
+{fold("t", f"t_f0 AS (SELECT f.doc_id, '' AS tree, s.p, f.h, f.sib FROM s_f{levels} f JOIN subroots s ON s.of = f.tree)")}
+SELECT r.doc_id, r.leaf, s.h AS subroot, t.h AS root, sha256(f.sib) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
+FROM ranked r JOIN t_f{levels} f USING (doc_id) JOIN subroots s ON s.of = r.tree CROSS JOIN t{levels} t"""
+
+
 ORACLE = {
     "op2_chat": r"""
 WITH turns AS (
@@ -38,4 +92,5 @@ names AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FRO
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
        sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN names USING (doc_id)""",
+    "op11_merkle": _merkle(),
 }

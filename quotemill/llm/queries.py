@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import chat, decontaminate, licenses, neighbours, packing, quality, repeats, sharding, simhash, toxicity
+from quotemill.llm import chat, decontaminate, licenses, merkle, neighbours, packing, quality, repeats, sharding, simhash, toxicity
 from quotemill.llm.oracle import ORACLE as ORACLE  # noqa: PLC0414
 from quotemill.session import ship_package
 
@@ -94,3 +95,11 @@ def op9_neighbours(table):
 def op10_repeats(table):
     cut = repeats.remove_repeats(table("documents").select("doc_id", "text"), result="r")
     return cut.select("doc_id", "r.n_bytes", "r.n_removed", "r.n_spans", F.sha2("r.kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_merkle(table):
+    docs = table("documents")
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    rows, _ = merkle.manifest(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 0, {"text": lowered})
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
