@@ -93,6 +93,26 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN names USING (doc_id)""",
     "op11_merkle": _merkle(),
+    "op12_phrases": rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_AZ}', '{_az}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+runs AS (
+  SELECT lang, k, unnest([list_slice(w, s, s + k - 1) for s in range(1, len(w) - k + 2)]) AS p FROM w, (VALUES (1), (2), (3)) v(k) WHERE len(w) >= k
+), f AS (SELECT lang, k, p, count(*) AS a FROM runs GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+cuts AS (SELECT lang, k, p, a, cut, p[1:cut] AS lp, p[cut + 1:] AS rp FROM c, (VALUES (1), (2)) v(cut) WHERE cut < k),
+scored AS (
+  SELECT cuts.*, x.a AS l, y.a AS r, ((1000000::HUGEINT * cuts.a * cuts.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.p = lp JOIN f y ON y.lang = cuts.lang AND y.p = rp
+), low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, p[1:2] AS p, a FROM c WHERE k = 3 UNION ALL SELECT lang, p[2:3] AS p, a FROM c WHERE k = 3
+), kept AS (SELECT * FROM low WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = low.lang AND i.p = low.p AND 100 * i.a >= 50 * low.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank, array_to_string(p, ' ') AS phrase,
+       a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000""",
     "op13_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)

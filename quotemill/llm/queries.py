@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import chat, decontaminate, licenses, merkle, neighbours, packing, quality, repeats, sharding, simhash, toxicity, warc
+from quotemill.llm import chat, decontaminate, licenses, merkle, neighbours, packing, phrases, quality, repeats, sharding, simhash, toxicity, warc
 from quotemill.llm.oracle import ORACLE as ORACLE  # noqa: PLC0414
 from quotemill.session import scratch, ship_package
 
@@ -105,6 +105,11 @@ def op11_merkle(table):
     return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+@query
+def op12_phrases(table):
+    return phrases.collocations(table("documents"))
+
+
 @query
 def op13_warc(table):
     pages = table("pages")
