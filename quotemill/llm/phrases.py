@@ -11,13 +11,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotemill.session import stored
+from quotemill.session import scratch, stored
 
 SCALE = 1_000_000
-#: Bits of a membership filter: 8 MB, whatever the corpus. More members only let more through to the exact join.
-BITS = 1 << 26
+#: Bits of a membership filter: 4 MB, whatever the corpus. More members only let more through to the exact join.
+BITS = 1 << 25
 #: Tokens of a stored block, and of the blocks that a task counts together.
-BLOCK, TOGETHER = 1 << 18, 1 << 22
+BLOCK, TOGETHER = 1 << 19, 1 << 20
+#: Rows that a task hands over at once.
+SLICE = 1 << 16
 UNKNOWN = "und"
 
 _BREAK = b"."
@@ -50,7 +52,9 @@ def coded(docs: DataFrame, seed: int, hasher: Callable[[bytes, int], int], text_
     def block(lang: str, numbers: _Numbers, parts: list[np.ndarray]) -> pa.RecordBatch:
         tokens = np.concatenate(parts)
         words = list(numbers)[1:]
-        hashes = np.array([hasher(w, seed) for w in words], np.uint64).view(np.int64)
+        name = lang.encode()
+        mark = b"%d:%s" % (len(name), name)  # one word of two languages is two
+        hashes = np.array([hasher(mark + w, seed) for w in words], np.uint64).view(np.int64)
         counts = np.bincount(tokens, minlength=len(numbers))[1:]
         columns = [pa.array(words, pa.binary()).cast(pa.string()), pa.array(hashes), pa.array(counts, pa.int64()), pa.array(tokens)]
         return pa.RecordBatch.from_arrays(
@@ -79,6 +83,13 @@ def coded(docs: DataFrame, seed: int, hasher: Callable[[bytes, int], int], text_
     return rows.mapInArrow(scan, "lang string, words array<string>, hashes array<long>, counts array<long>, tokens array<int>")
 
 
+def _stored_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks are large rows: small row groups bound how many a reader holds at once."""
+    path = scratch(blocks.sparkSession, "phrase-blocks")
+    blocks.write.option("parquet.block.size", 16 << 20).parquet(path)
+    return blocks.sparkSession.read.schema(blocks.schema).parquet(path)
+
+
 # --- filters of a fixed size --------------------------------------------------------------------
 
 
@@ -93,9 +104,9 @@ def _filter(members: DataFrame, key: Column) -> np.ndarray:
     """A bit for every member's key; the driver gets one row for 64 bits at most."""
     at = key.bitwiseAND(BITS - 1)
     bit = F.expr("shiftleft(1L, cast(at & 63 as int))")
-    rows = members.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    rows = members.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     out = np.zeros(BITS // 64, np.uint64)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return out
 
 
@@ -112,45 +123,48 @@ def _merged(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     known, places = np.unique(np.concatenate([h for h, _ in rows]), return_inverse=True)
     out, at = [], 0
     for hashes, tokens in rows:
-        own = np.concatenate([[0], places[at : at + len(hashes)] + 1])
+        own = np.concatenate([[0], places[at : at + len(hashes)] + 1]).astype(np.int32)
         out.append(own[tokens])
         at += len(hashes)
     return np.concatenate([np.zeros(1, np.uint64), known]), np.concatenate(out)
 
 
 def _counted(blocks: DataFrame, size: int, pick: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(lang, h1 .. h``size``, a): how often each run of ``size`` words occurs whose start ``pick`` chooses."""
+    """(h1 .. h``size``, a): how often each run of ``size`` words occurs whose start ``pick`` chooses."""
     names = [f"h{i + 1}" for i in range(size)]
 
-    def tally(lang: str, rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def tally(rows: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         hashes, tokens = _merged(rows)
         starts = np.nonzero(pick(hashes, tokens))[0]
-        runs = np.stack([tokens[starts + i] for i in range(size)])
         if len(hashes) ** size < 2**63:
-            key = runs[0].astype(np.int64)
-            for more in runs[1:]:
-                key = key * len(hashes) + more
+            key = tokens[starts].astype(np.int64)
+            for i in range(1, size):
+                key = key * len(hashes) + tokens[starts + i]
             _, first, n = np.unique(key, return_index=True, return_counts=True)
         else:
-            _, first, n = np.unique(runs, axis=1, return_index=True, return_counts=True)
-        columns = [pa.array(hashes[run[first]].view(np.int64)) for run in runs]
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *columns, pa.array(n, pa.int64())], ["lang", *names, "a"])
+            _, first, n = np.unique(np.stack([tokens[starts + i] for i in range(size)]), axis=1, return_index=True, return_counts=True)
+        starts = starts[first]
+        for at in range(0, len(n), SLICE):
+            here = starts[at : at + SLICE]
+            columns = [pa.array(hashes[tokens[here + i]].view(np.int64)) for i in range(size)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n[at : at + SLICE], pa.int64())], [*names, "a"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         total = 0
         for batch in batches:
-            for lang, hashes, tokens in zip(batch["lang"].to_pylist(), batch["hashes"], batch["tokens"]):
+            for hashes, tokens in zip(batch["hashes"], batch["tokens"]):
                 row = (hashes.values.to_numpy().view(np.uint64), tokens.values.to_numpy())
-                if total and total + len(row[1]) > TOGETHER:
-                    yield from (tally(*x) for x in held.items())
-                    held, total = {}, 0
-                held.setdefault(lang, []).append(row)
+                if held and total + len(row[1]) > TOGETHER:
+                    yield from tally(held)
+                    held, total = [], 0
+                held.append(row)
                 total += len(row[1])
-        yield from (tally(*x) for x in held.items())
+        if held:
+            yield from tally(held)
 
-    found = blocks.select("lang", "hashes", "tokens").mapInArrow(scan, "lang string, " + ", ".join(f"{n} long" for n in [*names, "a"]))
-    return found.groupBy("lang", *names).agg(F.sum("a").alias("a"))
+    found = blocks.select("hashes", "tokens").mapInArrow(scan, ", ".join(f"{n} long" for n in [*names, "a"]))
+    return found.groupBy(*names).agg(F.sum("a").alias("a"))
 
 
 def _runs(tokens: np.ndarray, size: int) -> np.ndarray:
@@ -195,7 +209,7 @@ def collocations(
     expanded reaches that score, and none could still drop a pair that reaches it. A round takes
     prefixes down to ``margin`` times the score, which saves passes and changes no result.
 
-    Words are known by 64-bit hashes, under a seed for which no frequent word shares its hash. Filters
+    A word of a language is known by a 64-bit hash, under a seed for which no frequent one shares its hash. Filters
     sent to the tasks have a fixed size; what they let through too much is dropped by exact joins.
 
     A null language is ``und``, a null text is empty. Repeated rows count each time. Languages with
@@ -203,11 +217,11 @@ def collocations(
     """
     # whole texts, cut into words once
     for seed in count():
-        blocks = stored(coded(docs, seed, hasher, text_col, lang_col), "phrase-blocks")
+        blocks = _stored_blocks(coded(docs, seed, hasher, text_col, lang_col))
         each = blocks.select("lang", F.explode(F.arrays_zip("words", "hashes", "counts")).alias("w"))
         words = stored(each.groupBy("lang", F.col("w.words").alias("word"), F.col("w.hashes").alias("h")).agg(F.sum("w.counts").alias("f")), "phrase-words")
-        shared = words.groupBy("h").agg(F.min("word").alias("one"), F.max("word").alias("other"), F.max("f").alias("f"))
-        if shared.where((F.col("one") != F.col("other")) & (F.col("f") >= least)).isEmpty():
+        shared = words.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("f").alias("f"))
+        if shared.where((F.col("n") > 1) & (F.col("f") >= least)).isEmpty():
             break
     frequent = words.where(F.col("f") >= least)
 
@@ -219,9 +233,9 @@ def collocations(
         good = ok[tokens]
         return _runs(tokens, 2) & good & np.append(good[1:], False)
 
-    count_of = lambda i: frequent.select("lang", F.col("h").alias(f"h{i}"), F.col("f").alias(f"f{i}"))
+    count_of = lambda i, *more: frequent.select(*more, F.col("h").alias(f"h{i}"), F.col("f").alias(f"f{i}"))
     counted = _counted(blocks, 2, both_frequent).where(F.col("a") >= least)
-    scored = counted.join(count_of(1), ["lang", "h1"]).join(count_of(2), ["lang", "h2"])
+    scored = counted.join(count_of(1, "lang"), "h1").join(count_of(2), "h2")
     scored = scored.withColumn("score", _ratio("a", "a", "f1 * f2")).withColumn("bound", _ratio("a", "1", "f1"))
     pairs = stored(scored.select("lang", "h1", "h2", "a", "f1", "f2", "score", "bound"), "phrase-pairs")
     known_pairs = _filter(pairs, _pair_key(F.col("h1"), F.col("h2")))
@@ -231,16 +245,16 @@ def collocations(
         left, last = _survivors(pairs, triples, top)
         left = stored(left, "phrase-survivors")
         last = stored(last, "phrase-last-scores")
-        open_ = pairs if expanded is None else pairs.join(expanded, ["lang", "h1", "h2"], "left_anti")
+        open_ = pairs if expanded is None else pairs.join(expanded, ["h1", "h2"], "left_anti")
         if _to_expand(open_, left, last, 1.0).isEmpty():
             break
         now = stored(_to_expand(open_, left, last, margin), "phrase-prefixes")
         expanded = now if expanded is None else stored(expanded.unionByName(now), "phrase-expanded")
         found = _extended(blocks, now, known_pairs).where(F.col("a") >= least)
-        found = found.join(now, ["lang", "h1", "h2"], "left_semi")
+        found = found.join(now, ["h1", "h2"], "left_semi")
         first = pairs.select("lang", "h1", "h2", "f1", F.col("a").alias("f12"))
-        second = pairs.select("lang", F.col("h1").alias("h2"), F.col("h2").alias("h3"), F.col("a").alias("f23"), F.col("f2").alias("f3"))
-        found = found.join(first, ["lang", "h1", "h2"]).join(second, ["lang", "h2", "h3"])
+        second = pairs.select(F.col("h1").alias("h2"), F.col("h2").alias("h3"), F.col("a").alias("f23"), F.col("f2").alias("f3"))
+        found = found.join(first, ["h1", "h2"]).join(second, ["h2", "h3"])
         cuts = found.withColumn("cut1", _ratio("a", "a", "f1 * f23")).withColumn("cut2", _ratio("a", "a", "f12 * f3"))
         early = F.col("cut1") <= F.col("cut2")
         found = cuts.select(
@@ -253,8 +267,8 @@ def collocations(
 
     reached = left.join(last, "lang").where(F.col("score") >= F.col("last"))
     for i in (1, 2, 3):
-        word = frequent.select("lang", F.col("h").alias(f"h{i}"), F.col("word").alias(f"w{i}"))
-        reached = reached.join(word, ["lang", f"h{i}"], "left")
+        word = frequent.select(F.col("h").alias(f"h{i}"), F.col("word").alias(f"w{i}"))
+        reached = reached.join(word, f"h{i}", "left")
     named = reached.withColumn("phrase", F.concat_ws(" ", "w1", "w2", "w3"))
     sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
@@ -267,11 +281,11 @@ def _survivors(pairs: DataFrame, triples: DataFrame | None, top: int) -> tuple[D
     plain = pairs.select("lang", "h1", "h2", F.lit(None).cast("long").alias("h3"), "a", F.col("f1").alias("l"), F.col("f2").alias("r"), "score")
     left = plain
     if triples is not None:
-        inside = triples.select("lang", "h1", "h2", F.col("a").alias("longer")).unionByName(
-            triples.select("lang", F.col("h2").alias("h1"), F.col("h3").alias("h2"), F.col("a").alias("longer"))
+        inside = triples.select("h1", "h2", F.col("a").alias("longer")).unionByName(
+            triples.select(F.col("h2").alias("h1"), F.col("h3").alias("h2"), F.col("a").alias("longer"))
         )
-        most = inside.groupBy("lang", "h1", "h2").agg(F.max("longer").alias("longer"))
-        kept = plain.join(most, ["lang", "h1", "h2"], "left").where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * 50))
+        most = inside.groupBy("h1", "h2").agg(F.max("longer").alias("longer"))
+        kept = plain.join(most, ["h1", "h2"], "left").where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * 50))
         left = kept.select(plain.columns).unionByName(triples.select(plain.columns))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score")))
     best = left.select("lang", "score").withColumn("place", place).where(F.col("place") <= top)
@@ -285,11 +299,11 @@ def _to_expand(open_: DataFrame, left: DataFrame, last: DataFrame, margin: float
     goal = last.select("lang", limit.alias("goal"))
     reach = left.where("h3 IS NULL").join(goal, "lang").where(F.col("score") >= F.col("goal"))
     # (x, u) could be extended to a phrase around the pair (u, v)
-    around = reach.groupBy("lang", F.col("h1").alias("h2")).agg(F.min("a").alias("lowest"))
-    own = reach.select("lang", "h1", "h2", F.lit(True).alias("own"))
-    rows = open_.join(goal, "lang").join(around, ["lang", "h2"], "left").join(own, ["lang", "h1", "h2"], "left")
+    around = reach.groupBy(F.col("h1").alias("h2")).agg(F.min("a").alias("lowest"))
+    own = reach.select("h1", "h2", F.lit(True).alias("own"))
+    rows = open_.join(goal, "lang").join(around, "h2", "left").join(own, ["h1", "h2"], "left")
     wanted = (F.col("bound") >= F.col("goal")) | F.col("own") | (F.col("a") * 100 >= F.col("lowest") * 50)
-    return rows.where(wanted).select("lang", "h1", "h2")
+    return rows.where(wanted).select("h1", "h2")
 
 
 def _extended(blocks: DataFrame, prefixes: DataFrame, known_pairs: np.ndarray) -> DataFrame:
