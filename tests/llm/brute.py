@@ -119,3 +119,72 @@ def neighbours(vectors, queries, k=20):
         order = [i for i in np.lexsort((ids, -score)) if ids[i] != q][:k]
         out[q] = [(int(ids[i]), float(score[i])) for i in order]
     return out
+
+
+def sha(*values):
+    """Hash of values as the manifest writes them."""
+    out = "".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values)
+    return hashlib.sha256(out.encode()).hexdigest()
+
+
+def tree(leaves):
+    """All levels of a tree, leaves first."""
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        levels.append([hashlib.sha256("".join(below[i : i + 16]).encode()).hexdigest() for i in range(0, len(below), 16)])
+    return levels
+
+
+def manifest(rows, changed):
+    """doc_id -> (leaf, subroot, root, proof, folded root); rows: (doc_id, source, lang, n_chars, text)."""
+    sources = sorted({r[1] for r in rows}, key=lambda s: (s is not None, (s or "").encode()))
+    members = {s: sorted((r for r in rows if r[1] == s), key=lambda r: (r[0] is not None, r[0], sha(*r))) for s in sources}
+    trees = {s: tree([sha(*r) for r in members[s]]) for s in sources}
+    top = tree([trees[s][-1][0] for s in sources])
+    out = {}
+    for number, s in enumerate(sources):
+        for place, r in enumerate(members[s]):
+            others, now = "", sha(*r[:4], r[4].translate(LOWER) if r[4] is not None else None) if changed(r[0]) else sha(*r)
+            for levels, at in ((trees[s], place), (top, number)):
+                for level in levels[:-1]:
+                    first = at - at % 16
+                    run = list(level[first : first + 16])
+                    others += "".join(run[: at % 16] + run[at % 16 + 1 :])
+                    run[at % 16] = now
+                    now, at = hashlib.sha256("".join(run).encode()).hexdigest(), at // 16
+            out[r[0]] = (sha(*r), trees[s][-1][0], top[-1][0], hashlib.sha256(others.encode()).hexdigest(), now)
+    return out
+
+
+def phrases(rows, top=2000, least=10):
+    """Sorted (lang, rank, phrase, a, l, r, n, score); rows: (lang, text)."""
+    f, n = defaultdict(int), defaultdict(int)
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n-\r]", (text or "").translate(LOWER)):
+            w = re.findall("[^ \t]+", piece)
+            n[lang] += len(w)
+            for k in (1, 2, 3):
+                for s in range(len(w) - k + 1):
+                    f[lang, tuple(w[s : s + k])] += 1
+    found = {key: a for key, a in f.items() if len(key[1]) > 1 and a >= least}
+    scored = defaultdict(list)
+    for (lang, p), a in found.items():
+        around = [b for (other, q), b in found.items() if other == lang and len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q)))]
+        if any(100 * b >= 50 * a for b in around):
+            continue
+        cuts = [(10**6 * a * a // (f[lang, p[:k]] * f[lang, p[k:]]), k) for k in range(1, len(p))]
+        score, k = min(cuts)
+        scored[lang].append((-score, -a, " ".join(p).encode(), f[lang, p[:k]], f[lang, p[k:]]))
+    return sorted((lang, rank, p.decode(), -a, l, r, n[lang], -s) for lang, those in scored.items() for rank, (s, a, p, l, r) in enumerate(sorted(those)[:top], 1))
+
+
+def revisits(rows, least=1000):
+    """page_id -> (bytes, sha1, type, refers to)."""
+    data = {i: (t or "").encode() for i, t in rows}
+    out = {}
+    for i, b in data.items():
+        first = max(j for j, other in data.items() if other == b) if len(b) >= least else i
+        out[i] = (len(b), hashlib.sha1(b).hexdigest(), "response" if first == i else "revisit", None if first == i else first)
+    return out
