@@ -12,17 +12,19 @@ from pyspark.sql import functions as F
 from quotemill.session import stored
 
 
-def usable_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def usable_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", length: int | None = None) -> DataFrame:
     """vec_id and v (doubles) of the vectors that take part.
 
     Left out: null and zero vectors, those with null or non-finite components, and those of another
-    length than most (ties: the longer).
+    length than ``length``, by default that of most (ties: the longer).
     """
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = rows.where(F.coalesce(whole, F.lit(False)) & F.exists("v", lambda x: x != 0))
-    length = sound.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return sound.where(F.size("v") == (length["n"] if length else 0))
+    if length is None:
+        most = sound.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+        length = most["n"] if most else 0
+    return sound.where(F.size("v") == length)
 
 
 class Pivots:
@@ -104,8 +106,9 @@ def nearest_neighbours(
     by_vector = Window.partitionBy("v").orderBy("vec_id")
     least = stored(sound.withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1), "vectors")
     classes = least.where("n = 1").select(F.col("vec_id").alias("class_id"), "v")
-    total, top = classes.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
-    asked = usable_vectors(queries, id_col, vector_col).withColumnsRenamed({"vec_id": "query_id"})
+    total, top, length = classes.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.max(F.size("v"))).first()
+    # a query of another length has no inner product with any vector
+    asked = usable_vectors(queries, id_col, vector_col, length or 0).withColumnsRenamed({"vec_id": "query_id"})
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     root = math.sqrt(total)

@@ -271,8 +271,12 @@ def collocations(
         reached = reached.join(word, f"h{i}", "left")
     named = reached.withColumn("phrase", F.concat_ws(" ", "w1", "w2", "w3"))
     sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    ranked = named.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top).join(sizes, "lang")
+    # any number of phrases may tie, so each of 256 parts gives its first ones before they meet
+    best_first = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(256))).orderBy(*best_first)
+    first = named.withColumn("place", F.row_number().over(part)).where(F.col("place") <= top)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*best_first))
+    ranked = first.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top).join(sizes, "lang")
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
@@ -287,10 +291,11 @@ def _survivors(pairs: DataFrame, triples: DataFrame | None, top: int) -> tuple[D
         most = inside.groupBy("h1", "h2").agg(F.max("longer").alias("longer"))
         kept = plain.join(most, ["h1", "h2"], "left").where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * 50))
         left = kept.select(plain.columns).unionByName(triples.select(plain.columns))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score")))
-    best = left.select("lang", "score").withColumn("place", place).where(F.col("place") <= top)
-    last = best.groupBy("lang").agg(F.when(F.count(F.lit(1)) == top, F.min("score")).otherwise(-1).alias("last"))
-    return left, last
+    # scores are whole numbers up to SCALE, which bounds the rows a language sends to its window
+    counts = left.groupBy("lang", "score").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0))
+    reached = counts.withColumn("upto", upto).groupBy("lang").agg(F.max(F.when(F.col("upto") >= top, F.col("score"))).alias("last"))
+    return left, reached.select("lang", F.coalesce("last", F.lit(-1)).alias("last"))
 
 
 def _to_expand(open_: DataFrame, left: DataFrame, last: DataFrame, margin: float) -> DataFrame:

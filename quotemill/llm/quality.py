@@ -71,10 +71,10 @@ def examine(text: str | None, bins: int = BINS) -> tuple[list[int], np.ndarray,
         for name, low, high in (("common", 0.02, 0.15), ("kinds", 0.25, 0.7))
     ]
     shapes = Counter(data.translate(_SHAPES).split())
-    at = [zlib.crc32(shape[:24]) % bins for shape in shapes]
+    at = [zlib.crc32(shape) % bins for shape in shapes]
     value = [math.sqrt(n / count) for n in shapes.values()]
     for name, measure in measures.items():
-        at.append(zlib.crc32(b"%s:%d" % (name.encode(), min(int(measure * 20), 20))) % bins)
+        at.append(zlib.crc32(b"%s:%d" % (name.encode(), int(measure * 20))) % bins)
         value.append(0.5)
     values = np.array(value)
     return said, np.array(at, np.int64), values / np.sqrt((values**2).sum())
@@ -137,7 +137,7 @@ def score_quality(docs: DataFrame, sample: int = 4000, threshold: float = 0.5, b
 
     Every labeller votes on every whole text. The accuracies are fitted on the counts of all vote
     patterns, of which there are 3^8 at most. The linear scorer is trained on the posteriors of a
-    bounded sample, the ``sample`` texts with the smallest hashes, and scores every row; ``keep``:
+    bounded sample, about ``sample`` texts with the smallest hashes (twice as many at most), and scores every row; ``keep``:
     its score reaches ``threshold``.
 
     Rows without a word have no votes and no features: they get the bare prior, score 0 and are not
@@ -156,7 +156,8 @@ def score_quality(docs: DataFrame, sample: int = 4000, threshold: float = 0.5, b
 
     shape = f"doc_id {kind}, {DIGEST} long, " + ", ".join(f"{n} int" for n in names) + ", at array<int>, value array<float>"
     rows = stored(identified(docs, id_col, text_col).mapInArrow(scan, shape), "examined")
-    counted = rows.groupBy(*names).count().toPandas()  # one row a pattern
+    # one row a pattern, in an order of its own: sums don't depend on partitions
+    counted = rows.groupBy(*names).count().toPandas().sort_values(names)
     patterns, weight = counted[names].to_numpy(int).reshape(-1, len(names)), counted["count"].to_numpy(float)
     told = (patterns != ABSTAIN).any(axis=1)
     prior, accuracy = fit_votes(patterns[told], weight[told]) if told.any() else (0.5, np.full((len(names), 2, 3), 1 / 3))

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.llm.common import DIGEST, identified
@@ -118,16 +118,17 @@ def score_toxicity(
     the sample); ``grade``: the rounded expectation.
 
     Labels that are null, or of no text, are not used; of several labels of an id the largest holds.
-    Without any toxic label the model is empty and all texts get severity 0. Texts without words get
-    severity 0. Equal texts get equal results; an empty table gives none.
+    Without any toxic label the model is empty and all texts get severity 0; if all labels are toxic,
+    all texts get severity 1, grade 1 and are toxic. Empty texts get severity 0. Equal texts get equal results; an empty table gives none.
     """
     rows = identified(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     # ids and hashes only; texts are read again for those that are drawn
     keyed = rows.select("doc_id", DIGEST).join(known, F.col("doc_id") == F.col("label_id")).groupBy(DIGEST).agg(F.max("toxic").alias("toxic"))
-    first = Window.partitionBy("toxic").orderBy(DIGEST)
-    drawn = stored(keyed.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample // 2).select(F.col(DIGEST).alias("drawn"), "toxic"), "drawn-labels")
+    keyed = stored(keyed, "labelled-hashes")
+    first = [keyed.where(side).orderBy(DIGEST).limit(sample // 2) for side in ("toxic > 0", "toxic <= 0")]
+    drawn = stored(first[0].unionByName(first[1]).select(F.col(DIGEST).alias("drawn"), F.sign("toxic").cast("int").alias("toxic")), "drawn-labels")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,8 +156,11 @@ def score_toxicity(
         placed = ((model.place(at), n) for at, n in zip(at_of, n_of))
         model.fit([(where, damped(n[has])) for (where, has), n in placed], grades)
     else:
+        # one label only: nothing to tell apart, so all texts have that label's lowest grade
         model.cuts += 30
         limit = 1.0
+        if bad_texts:
+            model.cuts[0], limit = -30.0, 0.5
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = {int(b): float(w) for b, w in zip(model.at, model.weights)}
