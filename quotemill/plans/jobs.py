@@ -41,7 +41,7 @@ def warehouse_tables(path: str) -> dict[str, Table]:
         ),
         "model_runs": Table(f"{path}/train_stock_model", schemas.MODEL_RUNS, ("model_name",)),
         "alpha_metrics": Table(f"{path}/stock_alpha_metrics", schemas.ALPHA_METRICS, ("stock_code", "alpha_formula")),
-        "news": Table(f"{path}/stock_news", schemas.NEWS, ("stock_code", "date", "article_id")),
+        "news": Table(f"{path}/stock_news", schemas.NEWS, ("stock_code", "date", "article_id"), "news_day", day_of="date"),
     }
 
 

@@ -1,43 +1,54 @@
 """Keyed Parquet tables: upsert, replace and delete by key, and the small reads a load needs.
 
-A table is a folder partitioned by a date, or by ``key_bucket`` where it has no date. A write
-touches only the partitions that hold changed keys: they are read, merged and swapped in by
-Spark's dynamic partition overwrite. Writing the same rows again changes nothing.
+A table is a folder partitioned by a date, by the day of a time, or by ``key_bucket`` where it has
+neither. A write touches only the partitions that hold changed keys: they are read, merged and
+written anew, and one published list makes them the table's (``versions``). Readers see the table as
+it was before a write or after it, whatever becomes of the writer. Writing the same rows again
+changes nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quotemill.sources.versions import DATA, Version, Versions
+
 # Above this many touched partitions their list is joined instead of being written into the filter.
 LISTED_PARTITIONS = 1000
-# Fixed value: how Spark names the folder of rows whose partition value is NULL.
-NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+# How often a write starts anew because another writer came first.
+ATTEMPTS = 5
 
 
 @dataclass(frozen=True)
 class Table:
-    """Where a table lies, its key, and what it is partitioned by."""
+    """Where a table lies, its key, and what it is partitioned by.
+
+    ``day_of`` names a time column whose date is the partition. ``keep`` is how many versions stay
+    readable; a reader that is slower than that many writes must read again.
+    """
 
     path: str
     schema: T.StructType
     keys: tuple[str, ...]
     partition: str = "key_bucket"
     buckets: int = field(default=16)
+    day_of: str | None = None
+    keep: int = 3
 
     @property
     def bucketed(self) -> bool:
         return self.partition == "key_bucket"
 
     def stored_schema(self) -> T.StructType:
-        if not self.bucketed:
+        if self.partition in self.schema.names:
             return self.schema
-        return T.StructType([*self.schema.fields, T.StructField("key_bucket", T.IntegerType())])
+        kind = T.IntegerType() if self.bucketed else T.DateType()
+        return T.StructType([*self.schema.fields, T.StructField(self.partition, kind)])
 
     def shaped(self, df: DataFrame) -> DataFrame:
         """Declared columns and types; a missing column becomes NULL."""
@@ -51,19 +62,24 @@ class Table:
         if self.bucketed:
             hashed = F.xxhash64(*[F.col(k).cast("string") for k in self.keys])
             out = out.withColumn("key_bucket", F.pmod(hashed, F.lit(self.buckets)).cast("int"))
+        elif self.day_of is not None:
+            out = out.withColumn(self.partition, F.to_date(self.day_of))
         return out
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return self._stored(spark).select(*self.schema.names)
+        return self._stored(spark, Versions(spark, self.path).latest()).select(*self.schema.names)
 
-    def _stored(self, spark: SparkSession) -> DataFrame:
-        if not self.exists(spark):
-            return spark.createDataFrame([], self.stored_schema())
-        return spark.read.schema(self.stored_schema()).parquet(self.path)
+    def _stored(self, spark: SparkSession, version: Version) -> DataFrame:
+        schema = self.stored_schema()
+        if not version.folders:
+            return spark.createDataFrame([], schema)
+        # each partition is read from the version that wrote it last
+        read = spark.read.schema(T.StructType([*schema.fields, T.StructField("version", T.StringType())]))
+        folders = [f"{self.path}/{f}" for f in version.folders.values()]
+        return read.option("basePath", f"{self.path}/{DATA}").parquet(*folders).select(*schema.names)
 
     def exists(self, spark: SparkSession) -> bool:
-        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+        return bool(Versions(spark, self.path).numbers())
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
@@ -129,16 +145,36 @@ def _only(table: Table, stored: DataFrame, wanted: DataFrame) -> DataFrame:
     return stored.filter(named | F.col(table.partition).isNull() if None in listed else named)
 
 
-def _overwrite(table: Table, merged: DataFrame) -> None:
-    """Swap in whole partitions. Rebalancing cuts large ones into several files and joins small ones."""
-    (
-        merged.hint("rebalance", table.partition)
-        .sortWithinPartitions(table.partition, *table.keys)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(table.partition)
-        .parquet(table.path)
-    )
+def _values(touched: DataFrame) -> list:
+    """Partition values; as many as the table has partitions at most."""
+    return [r[0] for r in touched.distinct().collect()]
+
+
+def _commit(table: Table, spark: SparkSession, change: Callable[[DataFrame], tuple[DataFrame, list]]) -> None:
+    """Write a new version. ``change`` gives, for the stored rows, those of the partitions it touches and their values.
+
+    Rebalancing cuts large partitions into several files and joins small ones. If another writer
+    has published first, the change is made again on what that one left.
+    """
+    versions = Versions(spark, table.path)
+    for _ in range(ATTEMPTS):
+        before = versions.latest()
+        merged, touched = change(table._stored(spark, before))
+        folder = versions.folder(before.number + 1)
+        (
+            merged.hint("rebalance", table.partition)
+            .sortWithinPartitions(table.partition, *table.keys)
+            .write.mode("overwrite")
+            .partitionBy(table.partition)
+            .parquet(f"{table.path}/{folder}")
+        )
+        gone = {versions.partition_name(table.partition, v) for v in touched}
+        stay = {name: f for name, f in before.folders.items() if name not in gone}
+        if versions.publish(Version(before.number + 1, {**stay, **versions.partitions(folder)})):
+            versions.expire(table.keep)
+            return
+        versions.drop(folder)
+    raise RuntimeError(f"{table.path}: other writers came first {ATTEMPTS} times")
 
 
 def upsert(
@@ -153,11 +189,14 @@ def upsert(
     Several updates of one key count as the last one in ``order``. A key moves with its partition
     column, so that column must be part of the key or never change.
     """
-    spark = updates.sparkSession
     changes = table.shaped(last_per_key(updates, table.keys, order)).persist()
+
+    def change(stored: DataFrame) -> tuple[DataFrame, list]:
+        touched = _values(changes.select(table.partition))
+        return merge(_only(table, stored, changes.select(table.partition).distinct()), changes, table.keys, update_cols, do_nothing), touched
+
     try:
-        stored = _only(table, table._stored(spark), changes.select(table.partition).distinct())
-        _overwrite(table, merge(stored, changes, table.keys, update_cols, do_nothing))
+        _commit(table, updates.sparkSession, change)
     finally:
         changes.unpersist()
 
@@ -167,26 +206,22 @@ def without_keys(target: DataFrame, gone: DataFrame, keys: Sequence[str]) -> Dat
 
 
 def _rewrite(table: Table, keys: Sequence[str], gone: DataFrame, fresh: DataFrame | None) -> None:
-    spark = gone.sparkSession
-    stored = table._stored(spark)
-    touched = _meet(stored, gone.select(*keys).distinct(), keys, "left_semi").select(table.partition)
     new_rows = None if fresh is None else table.shaped(last_per_key(fresh, table.keys)).persist()
-    if new_rows is not None:
-        touched = touched.union(new_rows.select(table.partition))
-    touched = touched.distinct().persist()
+
+    def change(stored: DataFrame) -> tuple[DataFrame, list]:
+        hit = _meet(stored, gone.select(*keys).distinct(), keys, "left_semi").select(table.partition)
+        hit = hit if new_rows is None else hit.union(new_rows.select(table.partition))
+        touched = hit.distinct().persist()
+        try:
+            values = _values(touched)
+            merged = without_keys(_only(table, stored, touched), gone, keys)
+        finally:
+            touched.unpersist()
+        return merged if new_rows is None else merged.unionByName(new_rows), values
+
     try:
-        merged = without_keys(_only(table, stored, touched), gone, keys)
-        if new_rows is not None:
-            merged = merged.unionByName(new_rows)
-        empty = _meet(touched, merged.select(table.partition).distinct(), [table.partition], "left_anti")
-        emptied = [r[0] for r in empty.collect()]
-        _overwrite(table, merged)
-        # the overwrite leaves a partition without rows as it was, so its folder is removed
-        for value in emptied:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{table.path}/{table.partition}={NULL_FOLDER if value is None else value}")
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _commit(table, gone.sparkSession, change)
     finally:
-        touched.unpersist()
         if new_rows is not None:
             new_rows.unpersist()
 

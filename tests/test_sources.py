@@ -95,14 +95,14 @@ def test_upsert_by_date(spark, tmp_path, rows):
     assert table.read(spark).count() == 0
     make = lambda *r: spark.createDataFrame(list(r), table.schema)
     tb.upsert(table, make(("A", D(2024, 1, 1), 1, "x"), ("B", D(2024, 1, 1), 2, "y"), ("A", D(2024, 1, 2), 3, "z")))
-    untouched = sorted(os.listdir(tmp_path / "t" / "day=2024-01-01"))
+    first = tb.Versions(spark, table.path).latest().folders["day=2024-01-01"]
     changes = make(("A", D(2024, 1, 2), 30, "new"), ("A", D(2024, 1, 2), 20, "old"), ("C", D(2024, 1, 2), 5, "w"))
     for _ in range(2):  # a replay changes nothing
         tb.upsert(table, changes, update_cols=["a"], order=["a"])
         assert rows(table.read(spark), "code", "day", "a", "b") == [
             ("A", D(2024, 1, 1), 1, "x"), ("A", D(2024, 1, 2), 30, "z"), ("B", D(2024, 1, 1), 2, "y"), ("C", D(2024, 1, 2), 5, "w"),
         ]
-    assert sorted(os.listdir(tmp_path / "t" / "day=2024-01-01")) == untouched
+    assert tb.Versions(spark, table.path).latest().folders["day=2024-01-01"] == first
     tb.upsert(table, make(("A", D(2024, 1, 1), 9, "q"), ("D", D(2024, 1, 1), 9, "q")), do_nothing=True)
     assert rows(table.read(spark).filter("day = '2024-01-01'"), "code", "a") == [("A", 1), ("B", 2), ("D", 9)]
 
@@ -167,3 +167,92 @@ def test_broken_page_keeps_what_was_read(spark):
     pages = spark.createDataFrame([(1, "<title>x</title><![foo bar"), (2, "<title>y</title>")], "id int, html string")
     got = {r["id"]: r for r in ar.extract_articles(pages).collect()}
     assert (got[1]["title"], got[2]["title"], got[2]["problem"]) == ("x", "y", None) and got[1]["problem"]
+
+
+def crashing(monkeypatch, at):
+    """The ``at``-th step of a write that changes the table's folder fails, as if the job were killed there."""
+    from pyspark.sql import DataFrameWriter
+
+    steps = []
+
+    def watched(real):
+        def step(*args, **kwargs):
+            steps.append(real.__name__)
+            if len(steps) > at:
+                raise KeyboardInterrupt
+            return real(*args, **kwargs)
+
+        return step
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched(DataFrameWriter.parquet))
+    for name in ("publish", "expire", "drop"):
+        monkeypatch.setattr(tb.Versions, name, watched(getattr(tb.Versions, name)))
+    return steps
+
+
+def test_a_killed_write_leaves_the_old_or_the_new_table(spark, tmp_path, rows, monkeypatch):
+    table = daily_table(tmp_path / "t")
+    make = lambda *r: spark.createDataFrame(list(r), table.schema)
+    old = [("A", D(2024, 1, 1), 1, "x"), ("B", D(2024, 1, 2), 2, "y")]
+    tb.replace_by_key(table, make(*old), ["code"])
+    change = make(("A", D(2024, 1, 1), 9, "x"), ("C", D(2024, 1, 3), 3, "z"))
+    new = sorted([("A", D(2024, 1, 1), 9, "x"), old[1], ("C", D(2024, 1, 3), 3, "z")])
+    seen = []
+    for at in range(6):
+        with monkeypatch.context() as patch:
+            steps = crashing(patch, at)
+            try:
+                tb.upsert(table, change)
+            except KeyboardInterrupt:
+                pass
+        left = rows(table.read(spark))
+        assert left in (old, new), (at, steps)
+        seen.append((left == new, len(steps) <= at))
+        tb.replace_by_key(table, make(*old), ["code"])
+        tb.delete_by_key(table, spark.createDataFrame([("C",)], "code string"), ["code"])
+        assert rows(table.read(spark)) == old
+    assert (False, False) in seen and (True, False) in seen and (True, True) in seen
+
+
+def test_writers_that_meet_both_count(spark, tmp_path, rows, monkeypatch):
+    table = daily_table(tmp_path / "t")
+    make = lambda *r: spark.createDataFrame(list(r), table.schema)
+    tb.upsert(table, make(("A", D(2024, 1, 1), 1, "x")))
+    real, other = tb.Versions.publish, []
+
+    def late(self, version):
+        if not other:
+            other.append(True)
+            tb.upsert(table, make(("B", D(2024, 1, 1), 2, "y")))
+        return real(self, version)
+
+    monkeypatch.setattr(tb.Versions, "publish", late)
+    tb.upsert(table, make(("C", D(2024, 1, 1), 3, "z")))
+    assert rows(table.read(spark), "code") == [("A",), ("B",), ("C",)]
+
+
+def test_old_versions_expire(spark, tmp_path, rows):
+    table = daily_table(tmp_path / "t")
+    make = lambda *r: spark.createDataFrame(list(r), table.schema)
+    tb.upsert(table, make(("A", D(2024, 1, 1), 0, "x")))
+    for i in range(8):
+        tb.upsert(table, make(("B", D(2024, 1, 2), i, "y")))
+        earlier = table.read(spark)
+        tb.upsert(table, make(("B", D(2024, 1, 2), i + 100, "y")))
+        assert rows(earlier, "code", "a") == [("A", 0), ("B", i)]
+    assert len(os.listdir(tmp_path / "t" / "_versions")) <= 2 * table.keep
+    held = [f for v in os.listdir(tmp_path / "t" / "data") for f in os.listdir(tmp_path / "t" / "data" / v) if f.startswith("day=")]
+    assert held.count("day=2024-01-01") == 1 and held.count("day=2024-01-02") <= table.keep + 1
+
+
+def test_news_of_a_day_touches_one_partition(spark, tmp_path):
+    from quotemill.plans.jobs import warehouse_tables
+
+    table = warehouse_tables(str(tmp_path))["news"]
+    at = lambda day, i: (f"a{i}", "FPT", "t", "l", dt.datetime(2024, 1, day, i), False, "c", 0.5, None, None)
+    tb.upsert(table, spark.createDataFrame([at(d, d) for d in range(1, 6)], table.schema))
+    before = tb.Versions(spark, table.path).latest().folders
+    tb.upsert(table, spark.createDataFrame([at(3, 7)], table.schema))
+    after = tb.Versions(spark, table.path).latest().folders
+    assert {name for name in after if after[name] != before[name]} == {"news_day=2024-01-03"}
+    assert table.read(spark).count() == 6 and table.read(spark).columns == table.schema.names
