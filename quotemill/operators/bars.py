@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quotemill.functions.ordering import one_row, order_key
 from quotemill.functions.scalars import round2
 from quotemill.operators.filters import in_session
-from quotemill.operators.runs import order_key
 
 TICK_ORDER = ("event_ts", "seq")
 PRICE_COLUMNS = ("open", "high", "low", "close", "vwap")
@@ -20,8 +20,7 @@ INTERVALS = {"1m": "1 minute", "5m": "5 minutes", "1h": "1 hour", "1d": "1 day"}
 
 def latest_by_symbol(ticks: DataFrame, order: Sequence[str] = TICK_ORDER, key: str = "symbol") -> DataFrame:
     """The newest row per symbol."""
-    row = F.max_by(F.struct(*[F.col(c) for c in ticks.columns if c != key]), order_key(order))
-    return ticks.groupBy(key).agg(row.alias("_row")).select(key, "_row.*").select(*ticks.columns)
+    return one_row(ticks, [key], order)
 
 
 def _ohlc() -> list[Column]:
@@ -56,7 +55,7 @@ def daily_bars(
     ``cumulative``: volume is the last cumulative day volume and divides the traded value; a single
     tick's vwap is its price. ``traded``: volume and divisor are the summed trade sizes.
     """
-    rows = in_session(ticks).withColumn("_at", order_key(order))
+    rows = in_session(ticks).withColumn("_at", order_key(ticks, order))
     value = F.sum(F.col("price") * F.col("last_size"))
     close = F.max_by("price", "_at")
     if vwap_mode == "cumulative":
@@ -101,7 +100,7 @@ def bars(
     ticks: DataFrame, interval: str = "1m", order: Sequence[str] = TICK_ORDER, rounded: bool = True
 ) -> DataFrame:
     """Tumbling bars of the session ticks; volume is the summed trade size."""
-    rows = in_session(ticks).withColumn("_at", order_key(order))
+    rows = in_session(ticks).withColumn("_at", order_key(ticks, order))
     out = (
         rows.groupBy("symbol", F.window("event_ts", INTERVALS[interval]).alias("_w"))
         .agg(*_ohlc(), F.sum("last_size").alias("volume"), _traded_vwap().alias("vwap"))
@@ -141,17 +140,14 @@ def rollup_bars(fine: DataFrame, interval: str) -> DataFrame:
 
 def session_summary(ticks: DataFrame, order: Sequence[str] = TICK_ORDER) -> DataFrame:
     """Open, high, low and close of each symbol's given ticks."""
-    return ticks.withColumn("_at", order_key(order)).groupBy("symbol").agg(*_ohlc())
+    return ticks.withColumn("_at", order_key(ticks, order)).groupBy("symbol").agg(*_ohlc())
 
 
 def collapse_by_second(ticks: DataFrame, order: Sequence[str] = TICK_ORDER) -> DataFrame:
     """The last tick of every second. In event order the ticks of a second are neighbours."""
-    row = F.max_by(F.struct("event_ts", "price", "day_volume", "change", "change_percent"), order_key(order))
-    return (
-        ticks.groupBy("symbol", F.date_trunc("second", "event_ts").alias("second"))
-        .agg(row.alias("_row"))
-        .select("symbol", "second", "_row.price", "_row.day_volume", "_row.change", "_row.change_percent")
-    )
+    shown = ("price", "day_volume", "change", "change_percent")
+    rows = ticks.select("symbol", F.date_trunc("second", "event_ts").alias("second"), *shown, order_key(ticks, order).alias("_at"))
+    return rows.groupBy("symbol", "second").agg(*[F.max_by(c, "_at").alias(c) for c in shown])
 
 
 def candle_change(bars: DataFrame) -> DataFrame:

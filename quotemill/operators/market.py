@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.functions.calendar import local_time
+from quotemill.functions.ordering import order_key
 from quotemill.functions.scalars import base_symbol, price_limits, trend
 from quotemill.operators.bars import TICK_ORDER
 from quotemill.operators.news import with_sector
-from quotemill.operators.runs import carry_in, order_key, previous, so_far, with_runs
+from quotemill.operators.runs import RUN, carry_in, in_run, so_far, starts_run, with_runs
 
 # --- board --------------------------------------------------------------------------------------
 
@@ -175,15 +176,18 @@ def running_high_low(ticks: DataFrame, order: Sequence[str] = TICK_ORDER) -> Dat
 def carry_change(ticks: DataFrame, ttl: str = "1 day", order: Sequence[str] = TICK_ORDER) -> DataFrame:
     """Replace a zero change by the symbol's last non-zero one, unless that is older than ``ttl``."""
     moved = F.col("change") != 0
-    value = F.struct("change", "change_percent", "event_ts")
+    parts = ("change", "change_percent", "event_ts")
     rows = with_runs(ticks, ["symbol"], order)
+    at = F.when(moved, order_key(ticks, order))
+    # a struct is NULL only where a run has no such row, whatever its fields are
+    seen = F.when(F.col("_n") > 0, F.struct(*[F.col(f"_seen_{c}").alias(c) for c in parts]))
     rows = carry_in(
         rows,
         ["symbol"],
-        {"_seen": F.max_by(value, F.when(moved, order_key(order)))},
-        {"_seen_in": (F.last("_seen", ignorenulls=True), ["symbol"])},
+        {**{f"_seen_{c}": F.max_by(c, at) for c in parts}, "_n": F.count_if(moved)},
+        {"_seen_in": (F.last(seen, ignorenulls=True), ["symbol"])},
     )
-    local = F.last(F.when(moved, value), ignorenulls=True).over(so_far(["symbol"], order))
+    local = F.last(F.when(moved, F.struct(*parts)), ignorenulls=True).over(so_far(["symbol"], order))
     rows = rows.withColumn("_last", F.coalesce(local, "_seen_in"))
     fresh = F.col("event_ts") < F.col("_last.event_ts") + F.expr(f"interval {ttl}")
     zero = F.lit(0.0)
@@ -203,23 +207,29 @@ DIRECTIONS = {"price": "price", "volume": "day_volume", "change": "change", "cha
 def tick_direction(ticks: DataFrame, order: Sequence[str] = TICK_ORDER) -> DataFrame:
     """Up or down against the tick before, per measure; an unchanged value keeps the last direction."""
     keys = ["symbol"]
-    rows = with_runs(ticks, keys, order)
-    rows = previous(rows, keys, order, {f"_prev_{c}": c for c in DIRECTIONS.values()}, runs=rows)
-    step = {
-        f"_step_{name}": F.when(F.col(c) > F.col(f"_prev_{c}"), "up").when(F.col(c) < F.col(f"_prev_{c}"), "down")
-        for name, c in DIRECTIONS.items()
-    }
-    rows = rows.withColumns(step)
-    moved = {n: F.when(F.col(n).isNotNull(), order_key(order)) for n in step}
-    rows = carry_in(
-        rows,
-        keys,
-        {f"_end{n}": F.max_by(n, at) for n, at in moved.items()},
-        {f"_in{n}": (F.last(f"_end{n}", ignorenulls=True), keys) for n in step},
+    measures = DIRECTIONS.items()
+    step = lambda now, before: F.when(now > before, 1).when(now < before, -1)
+    before = in_run(keys, order)
+    rows = with_runs(ticks, keys, order).withColumn("_starts", starts_run(keys, order))
+    # steps within each run; its rows lie together, so its summary needs no shuffle of its own
+    rows = rows.withColumns({f"_step_{n}": step(F.col(c), F.lag(c).over(before)) for n, c in measures})
+    rows = rows.withColumn("_at", order_key(ticks, order))
+    runs = rows.groupBy(*keys, RUN).agg(
+        *[F.min_by(c, "_at").alias(f"_first_{n}") for n, c in measures],
+        *[F.max_by(c, "_at").alias(f"_end_{n}") for n, c in measures],
+        *[F.max_by(f"_step_{n}", F.when(F.col(f"_step_{n}").isNotNull(), F.col("_at"))).alias(f"_turn_{n}") for n in DIRECTIONS],
     )
+    # from run to run: the step onto a run's first row, and the direction it starts with
+    through = Window.partitionBy(*keys).orderBy(RUN)
+    runs = runs.withColumns({f"_onto_{n}": step(F.col(f"_first_{n}"), F.lag(f"_end_{n}").over(through)) for n in DIRECTIONS})
+    earlier = through.rowsBetween(Window.unboundedPreceding, -1)
+    left = {f"_in_{n}": F.last(F.coalesce(f"_turn_{n}", f"_onto_{n}"), ignorenulls=True).over(earlier) for n in DIRECTIONS}
+    carries = runs.withColumns(left).select(*keys, RUN, *[f"_onto_{n}" for n in DIRECTIONS], *left)
+    joined = rows.join(carries, [*keys, RUN], "left")
     w = so_far(keys, order)
-    out = {
-        f"{name}_direction": F.coalesce(F.last(f"_step_{name}", ignorenulls=True).over(w), f"_in_step_{name}")
-        for name in DIRECTIONS
-    }
-    return rows.withColumns(out).select(*ticks.columns, *out)
+    out = {}
+    for name in DIRECTIONS:
+        own = F.when(F.col("_starts"), F.col(f"_onto_{name}")).otherwise(F.col(f"_step_{name}"))
+        sign = F.coalesce(F.last(own, ignorenulls=True).over(w), F.col(f"_in_{name}"))
+        out[f"{name}_direction"] = F.when(sign > 0, "up").when(sign < 0, "down")
+    return joined.withColumns(out).select(*ticks.columns, *out)

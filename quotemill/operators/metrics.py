@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotemill.operators.runs import carry_in, order_key, previous, so_far, with_runs
+from quotemill.functions.ordering import order_key
+from quotemill.operators.runs import carry_in, previous, so_far, with_runs
 
 # Upper bounds of the latency histogram in milliseconds, and how long a sample stays valid.
 LATENCY_BUCKETS = (10, 50, 100, 200, 500, 1000, 2000, 5000)
@@ -160,7 +161,7 @@ def outlier_z(rates: DataFrame, k: float = 2.0, damping: float = 100.0, value: s
 def last_per_step(samples: DataFrame, labels: Sequence[str], step: int, order: Sequence[str] = ("ts",)) -> DataFrame:
     """The newest value of each series in every grid step."""
     return samples.groupBy(*labels, _grid_up(order[0], step).alias("at_time")).agg(
-        F.max_by("value", order_key(order)).alias("value")
+        F.max_by("value", order_key(samples, order)).alias("value")
     )
 
 
@@ -188,7 +189,7 @@ def alert_hold(
     ts = order[0]
     ok = F.coalesce(holds, F.lit(False))
     rows = with_runs(samples.withColumn("_ok", ok), labels, order)
-    failed = F.when(~F.col("_ok"), order_key(order))
+    failed = F.when(~F.col("_ok"), order_key(samples, order))
     rows = carry_in(rows, labels, {"_fail": F.max(failed)}, {"_fail_in": (F.max("_fail"), labels)})
     rows = rows.withColumn("_span", F.coalesce(F.max(failed).over(so_far(labels, order)), "_fail_in"))
     spans = rows.filter("_ok").groupBy(*labels, "_span").agg(

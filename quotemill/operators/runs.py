@@ -13,29 +13,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotemill.functions.ordering import order_key
 from quotemill.session import settle
 
 RUN = "_run"
+#: Time buckets that a run may be, coarsest first.
+WIDTHS = ("day", "hour", "minute")
 
 
-def with_runs(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    width: str = "minute",
-    max_run_rows: int = 2_000_000,
-) -> DataFrame:
-    """Add ``_run``: the time bucket of ``order[0]``, or a balanced piece where a bucket is too full.
+def with_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_run_rows: int = 2_000_000) -> DataFrame:
+    """Add ``_run``: a time bucket of ``order[0]``, or a balanced piece where even minutes are too full.
 
-    The largest (key, bucket) is counted first; the count is combined before the shuffle. If it is
-    over the limit, rows are range-partitioned by key and order instead, which cuts even a bucket
-    of equal timestamps, and the piece numbers are settled so that later reads agree on them.
+    One job counts the fullest (key, bucket) of every width; counts are combined before the shuffle.
+    The coarsest width within the limit is taken, so what is carried between runs is one row per day
+    unless a key has very many rows. Beyond the limit rows are range-partitioned by key and order
+    instead, which cuts even a bucket of equal timestamps, and the piece numbers are settled so that
+    later reads agree on them.
     """
-    timed = df.withColumn(RUN, F.date_trunc(width, F.col(order[0])))
-    fullest = timed.groupBy(*keys, RUN).count().agg(F.max("count")).first()[0] or 0
-    if fullest <= max_run_rows:
-        return timed
-    return balanced_runs(df, keys, order)
+    width = _widest(df, keys, order[0], max_run_rows)
+    if width is None:
+        return balanced_runs(df, keys, order)
+    return df.withColumn(RUN, F.date_trunc(width, F.col(order[0])))
+
+
+def _widest(df: DataFrame, keys: Sequence[str], at: str, max_run_rows: int) -> str | None:
+    finest = WIDTHS[-1]
+    counts = df.groupBy(*keys, F.date_trunc(finest, F.col(at)).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    fullest = {}
+    for finer, width in zip(reversed(WIDTHS), reversed(WIDTHS[:-1])):
+        fullest = {f"_{finer}": F.max("_n"), **{c: F.max(c) for c in fullest}}
+        bucket = F.date_trunc(width, F.col("_t")).alias("_t")
+        counts = counts.groupBy(*keys, bucket).agg(F.sum("_n").alias("_n"), *[f.alias(c) for c, f in fullest.items()])
+    most = counts.agg(F.max("_n").alias(f"_{WIDTHS[0]}"), *[F.max(c).alias(c) for c in fullest]).first()
+    return next((w for w in WIDTHS if (most[f"_{w}"] or 0) <= max_run_rows), None)
 
 
 def balanced_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], pieces: int | None = None) -> DataFrame:
@@ -75,31 +85,27 @@ def so_far(keys: Sequence[str], order: Sequence[str]):
     return in_run(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def order_key(order: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c) for c in order])
+def run_end(df: DataFrame, column: str, order: Sequence[str]) -> Column:
+    """Per-run aggregate: the column's value on the last row, NULL or not."""
+    return F.max_by(column, order_key(df, order))
 
 
-def run_end(column: str, order: Sequence[str]) -> Column:
-    """Per-run aggregate: the column's value on the last row, wrapped so that a NULL counts as a value."""
-    return F.max_by(F.struct(F.col(column).alias("v")), order_key(order))
+def starts_run(keys: Sequence[str], order: Sequence[str]) -> Column:
+    """Whether a row is the first of its run."""
+    return F.lag(F.lit(1)).over(in_run(keys, order)).isNull()
 
 
 def before_row(column: str, carried: str, keys: Sequence[str], order: Sequence[str]) -> Column:
     """The column's value one row earlier; on the first row of a run the carried run end."""
-    return F.coalesce(F.lag(F.struct(F.col(column).alias("v"))).over(in_run(keys, order)), F.col(carried))["v"]
+    return F.when(starts_run(keys, order), F.col(carried)).otherwise(F.lag(column).over(in_run(keys, order)))
 
 
 def previous(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    columns: dict[str, str],
-    width: str = "minute",
-    runs: DataFrame | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str], runs: DataFrame | None = None
 ) -> DataFrame:
     """Add the value each column had on the row before, across run borders: {new name: column}."""
-    rows = runs if runs is not None else with_runs(df, keys, order, width)
-    ends = {f"_end_{new}": run_end(old, order) for new, old in columns.items()}
+    rows = runs if runs is not None else with_runs(df, keys, order)
+    ends = {f"_end_{new}": run_end(rows, old, order) for new, old in columns.items()}
     joined = carry_in(rows, keys, ends, {f"_in_{new}": (F.last(f"_end_{new}"), keys) for new in columns})
     out = {new: before_row(old, f"_in_{new}", keys, order) for new, old in columns.items()}
     return joined.withColumns(out).drop(*[f"_in_{new}" for new in columns])

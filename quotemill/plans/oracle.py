@@ -358,6 +358,9 @@ SELECT stock_code, coalesce(volume, -1) AS volume FROM codes LEFT JOIN base USIN
   FROM (SELECT DISTINCT stock_code FROM bars), (VALUES {CATALOG}) AS v(f, i))
 SELECT *, '01/01/2024' AS date_calculated FROM c WHERE stock_code >= 'S5'
 UNION ALL SELECT *, '02/01/2024' FROM c WHERE stock_code < 'S5' AND rank_ic < 0.2""",
+    "delete_formulas": f"""WITH {BARS}
+SELECT stock_code, f AS alpha_formula, i / 10.0::DOUBLE AS rank_ic
+FROM (SELECT DISTINCT stock_code FROM bars), (VALUES {CATALOG}) AS v(f, i) WHERE stock_code < 'S6'""",
     "article_links": """
 SELECT page_id, unnest(range(len(l)))::BIGINT AS pos, unnest(l) AS link
 FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS l FROM pages)""",

@@ -201,6 +201,16 @@ def replace_formulas(t):
     return table.read(t.spark).select("stock_code", "alpha_formula", "rank_ic", "date_calculated")
 
 
+@query
+def delete_formulas(t):
+    """Stored formulas of some stocks are deleted; a list that names others too changes nothing for them."""
+    table = tb.Table(scratch(t.spark, "table") + "/alphas", schemas.ALPHA_METRICS, ("stock_code", "alpha_formula"))
+    tb.upsert(table, t.catalog.select("stock_code", F.col("formula").alias("alpha_formula"), (F.col("pos") / 10.0).alias("rank_ic")))
+    gone = t.codes.filter(F.col("stock_code") >= "S6").select("stock_code")
+    tb.delete_by_key(table, gone.unionByName(gone.select(F.concat(F.lit("no"), "stock_code").alias("stock_code"))), ["stock_code"])
+    return table.read(t.spark).select("stock_code", "alpha_formula", "rank_ic")
+
+
 @query
 def article_links(t):
     out = ar.article_links(t.pages, "page_id")
@@ -401,23 +411,23 @@ def finalized_daily(t):
 
 @query
 def minute_bars(t):
-    return br.minute_bars(t.ticks, rounded=False).withColumn("vwap", r("vwap", nudge=1e-9))
+    return br.minute_bars(t.raw_ticks, rounded=False).withColumn("vwap", r("vwap", nudge=1e-9))
 
 
 @query
 def hourly_bars(t):
-    return br.bars(t.ticks, "1h", rounded=False).withColumn("vwap", r("vwap", nudge=1e-9))
+    return br.bars(t.raw_ticks, "1h", rounded=False).withColumn("vwap", r("vwap", nudge=1e-9))
 
 
 @query
 def five_minute_rollup(t):
-    out = br.rollup_bars(br.minute_bars(t.ticks, rounded=False), "5m")
+    out = br.rollup_bars(br.minute_bars(t.raw_ticks, rounded=False), "5m")
     return out.withColumn("vwap", r("vwap", nudge=1e-9))
 
 
 @query
 def daily_rollup(t):
-    out = br.rollup_bars(br.minute_bars(t.ticks, rounded=False), "1d")
+    out = br.rollup_bars(br.minute_bars(t.raw_ticks, rounded=False), "1d")
     return out.withColumn("vwap", r("vwap", nudge=1e-9))
 
 
@@ -584,7 +594,7 @@ def minmax_scaling(t):
 
 @query
 def running_high_low(t):
-    return mk.running_high_low(t.ticks).select("symbol", "event_ts", "seq", "price", "running_high", "running_low")
+    return mk.running_high_low(t.raw_ticks).select("symbol", "event_ts", "seq", "price", "running_high", "running_low")
 
 
 def _quiet(t):

@@ -62,7 +62,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = carry_in(
         rows,
         keys,
-        {"_size": F.sum("last_size"), "_end": run_end("price", order)},
+        {"_size": F.sum("last_size"), "_end": run_end(rows, "price", order)},
         {"_size_in": (F.sum("_size"), keys), "_price_in": (F.last("_end"), ["symbol"])},
     )
     rows = rows.withColumn("_prev", before_row("price", "_price_in", keys, order))

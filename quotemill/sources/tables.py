@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quotemill.functions.ordering import one_row
 from quotemill.sources.versions import DATA, Version, Versions
 
 # Above this many touched partitions their list is joined instead of being written into the filter.
@@ -88,15 +89,15 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] | None
     if not rest:
         return df.distinct()
     whole = F.struct(*rest)
-    row = F.max_by(whole, F.struct(*order)) if order else F.max(whole)
+    if order:
+        return one_row(df, keys, order)
+    row = F.max(whole)
     return df.groupBy(*keys).agg(row.alias("_row")).select(*keys, "_row.*").select(*df.columns)
 
 
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First row per key in an explicit order, combined before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    row = F.min_by(F.struct(*rest), F.struct(*order))
-    return df.groupBy(*keys).agg(row.alias("_row")).select(*keys, "_row.*").select(*df.columns)
+    return one_row(df, keys, order, first=True)
 
 
 def _meet(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:

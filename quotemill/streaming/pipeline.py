@@ -89,7 +89,7 @@ def latest_changes(ticks: DataFrame, latest: DataFrame | None = None, now_ms=Non
 
     ``latest`` is the stored state before these ticks. Ticks that change nothing give no row.
     """
-    rows = previous(ticks, ["symbol"], TICK_ORDER, {f"_was_{c}": c for c in CHANGE_COLUMNS} | {"_was_known": "symbol"})
+    rows = previous(ticks, ["symbol"], TICK_ORDER, {f"_was_{c}": c for c in CHANGE_COLUMNS} | {"_was_known": "seq"})
     if latest is not None:
         stored = latest.select("symbol", *[F.col(c).alias(f"_old_{c}") for c in CHANGE_COLUMNS])
         rows = rows.join(stored, "symbol", "left")

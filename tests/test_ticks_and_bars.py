@@ -7,6 +7,7 @@ from quotemill.operators import bars as br
 from quotemill.operators import filters as fl
 from quotemill.operators import market as mk
 from quotemill.operators import runs as rn
+from quotemill.sources import tables as tb
 
 DAY = "2024-01-02"
 
@@ -175,3 +176,65 @@ def test_market_board_fills_missing(spark, make_ticks, rows):
     day = spark.createDataFrame([("A", 11.0, 9.0)], "symbol string, high double, low double")
     got = rows(mk.market_board(latest, ref, day, ["A", "B"]), "symbol", "ceiling", "floor", "high", "low")
     assert got == [("A", 11.0, 9.0, 11.0, 9.0), ("B", 0.0, 0.0, 0.0, 0.0)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("build", [
+    lambda t: br.latest_by_symbol(t), lambda t: br.daily_bars(t), lambda t: br.daily_bars(t, "traded"), lambda t: br.minute_bars(t),
+    lambda t: br.rollup_bars(br.minute_bars(t), "1h"), lambda t: br.session_summary(t), lambda t: br.collapse_by_second(t),
+    lambda t: tb.dedupe_first(t.select("symbol", "exchange", "seq"), ["symbol"], ["seq"]), lambda t: mk.tick_direction(t), lambda t: mk.carry_change(t),
+])
+def test_first_and_last_need_no_sort(make_ticks, build):
+    t = make_ticks(("A", f"{DAY} 02:00:00", 1, 1))
+    fixed = t.withColumn("seq", F.coalesce("seq", F.lit(0)))
+    assert "SortAggregate" not in plan_of(build(fixed)) and "HashAggregate" in plan_of(build(fixed))
+
+
+def test_directions_shuffle_ticks_once(make_ticks):
+    plan = plan_of(mk.tick_direction(walk(make_ticks)))
+    assert plan.count(" Exchange ") + plan.count("-Exchange ") <= 4
+
+
+@pytest.mark.parametrize("order, want", [
+    ([(None, 5), (None, None), ("2024-01-02", -3), ("1901-05-06", 2**63 - 1), ("2024-01-02", -(2**63)), ("9999-12-31", 0), ("2024-01-02", None)], None),
+])
+def test_order_key_sorts_like_its_columns(spark, order, want):
+    from quotemill.functions.ordering import order_key
+
+    rows = [(dt.datetime.fromisoformat(a) if a else None, s, i) for i, (a, s) in enumerate(order)]
+    df = spark.createDataFrame(rows, "at timestamp, seq long, i int")
+    by_key = [r["i"] for r in df.orderBy(order_key(df, ["at", "seq"]), "i").collect()]
+    by_columns = [r["i"] for r in df.orderBy(F.coalesce("at", F.timestamp_micros(F.lit(-(10**17)))), F.coalesce("seq", F.lit(-(2**63))), "i").collect()]
+    assert by_key == by_columns
+    assert "struct" in str(df.select(order_key(df, ["i", "seq"]).alias("k")).schema["k"].dataType.simpleString())
+
+
+def test_one_row_of_each_key(make_ticks, spark, rows):
+    from quotemill.functions.ordering import one_row
+
+    t = make_ticks(*[("AB"[i % 2], f"{DAY} 02:00:0{i // 4}", i, 1) for i in range(12)])
+    t = t.withColumn("symbol", F.when(F.col("symbol") == "A", "A"))  # a NULL key
+    assert rows(one_row(t, ["symbol"], ["event_ts", "seq"]), "symbol", "seq") == [("A", 10), (None, 11)]
+    assert rows(one_row(t, ["symbol"], ["event_ts", "seq"], first=True), "symbol", "seq") == [("A", 0), (None, 1)]
+    alike = t.withColumn("seq", F.lit(7).cast("long"))
+    got = one_row(alike, ["symbol"], ["event_ts", "seq"])
+    assert got.count() == 2 and got.columns == alike.columns and got.filter(F.second("event_ts") == 2).count() == 2
+
+
+@pytest.mark.parametrize("limit, width", [(10**6, "day"), (40, "hour"), (10, "minute"), (2, None)])
+def test_all_runs_give_the_same(make_ticks, rows, monkeypatch, limit, width):
+    """Ties in time, and every width of a run, against plain windows."""
+    start = dt.datetime(2024, 1, 2, 22)
+    t = make_ticks(*[(s, (start + dt.timedelta(minutes=7 * (i // 3))).isoformat(sep=" "), (i * k) % 5, 1, 1, 1, [0.0, 2.0, 0.0][i % 3]) for i in range(90) for k, s in ((3, "A"), (7, "B"))])
+    assert rn._widest(t, ["symbol"], "event_ts", limit) == width
+    real = rn.with_runs
+    monkeypatch.setattr(mk, "with_runs", lambda df, keys, order: real(df, keys, order, max_run_rows=limit))
+    expected = plain(t)
+    assert rows(mk.running_high_low(t), "symbol", "seq", "running_high", "running_low") == rows(expected, "symbol", "seq", "hi", "lo")
+    assert rows(mk.tick_direction(t), "symbol", "seq", "price_direction") == rows(expected, "symbol", "seq", "dir")
+    carried = rows(mk.carry_change(t, ttl="20 minutes"), "symbol", "seq", "shown_change")
+    monkeypatch.setattr(mk, "with_runs", lambda df, keys, order: real(df, keys, order))
+    assert carried == rows(mk.carry_change(t, ttl="20 minutes"), "symbol", "seq", "shown_change")
