@@ -675,6 +675,9 @@ SELECT split_part(symbol, '.', 1) AS symbol, seq, CASE WHEN price IS DISTINCT FR
        CASE WHEN change IS DISTINCT FROM c0 THEN change END AS change, CASE WHEN day_volume IS DISTINCT FROM v0 THEN day_volume END AS day_volume,
        CASE WHEN last_size IS DISTINCT FROM s0 THEN last_size END AS last_size, 0::BIGINT AS latency_ms
 FROM l WHERE price IS DISTINCT FROM p0 OR change IS DISTINCT FROM c0 OR change_percent IS DISTINCT FROM r0 OR day_volume IS DISTINCT FROM v0 OR last_size IS DISTINCT FROM s0""",
+    "late_ticks": f"""WITH {TICKS}, m AS (SELECT max(event_ts) AS seen FROM valid WHERE seq % 4 <> 0)
+SELECT sink, symbol, event_ts, seq, price FROM valid, m, (VALUES ('minute', INTERVAL 1 MINUTE, INTERVAL 10 MINUTE), ('daily', INTERVAL 1 DAY, INTERVAL 1 DAY)) v(sink, width, delay)
+WHERE seq % 4 = 0 AND market_hours = 1 AND time_bucket(width, event_ts, TIMESTAMP '2000-01-01') + width <= seen - delay""",
     "gated_ticks": f"""WITH {RAW} SELECT symbol, seq, price FROM raw_ticks
 WHERE isodow(event_ts + INTERVAL 7 HOUR) < 6 AND hour(event_ts + INTERVAL 7 HOUR) BETWEEN 9 AND 14""",
     "live_movers": f"""WITH {TICKS},

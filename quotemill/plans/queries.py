@@ -907,7 +907,7 @@ def _streamed(t, *sinks: str) -> str:
     """The ticks written as files and put through the stream once; returns the output folder."""
     source, out = scratch(t.spark, "stream-in"), scratch(t.spark, "stream-out")
     t.ticks.select(*schemas.TIMED_TICK.names).write.mode("overwrite").parquet(source)
-    sp.run_available(sp.tick_pipeline(t.spark, source, out, sinks, schema=schemas.TIMED_TICK, once=True))
+    sp.run_available(sp.tick_pipeline(t.spark, source, out, sinks, schema=schemas.TIMED_TICK, once=True, change_seconds=None))
     return out
 
 
@@ -937,10 +937,20 @@ def stream_ticks(t):
 
 @query
 def stream_changes(t):
-    out = sp.read_batches(t.spark, f"{_streamed(t, 'changes')}/changes")
+    out = sp.serving_tables(_streamed(t, "changes"))["changes"].read(t.spark)
     return out.select("symbol", "seq", "price", "change", "day_volume", "last_size", "latency_ms")
 
 
+@query
+def late_ticks(t):
+    """A quarter of the ticks arrive in a second batch: which of them find their bars closed."""
+    source, out = scratch(t.spark, "stream-in"), scratch(t.spark, "stream-out")
+    for part in (F.col("seq") % 4 != 0, F.col("seq") % 4 == 0):
+        t.ticks.select(*schemas.TIMED_TICK.names).filter(part).write.mode("append").parquet(source)
+        sp.run_available(sp.tick_pipeline(t.spark, source, out, ("late",), schema=schemas.TIMED_TICK, once=True))
+    return sp.serving_tables(out)["late"].read(t.spark).select("sink", "symbol", "event_ts", "seq", "price")
+
+
 @query
 def gated_ticks(t):
     return sp.trading_gate(t.raw_ticks).select("symbol", "seq", "price")

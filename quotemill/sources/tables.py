@@ -151,8 +151,17 @@ def _values(touched: DataFrame) -> list:
     return [r[0] for r in touched.distinct().collect()]
 
 
-def _commit(table: Table, spark: SparkSession, change: Callable[[DataFrame], tuple[DataFrame, list]]) -> None:
-    """Write a new version. ``change`` gives, for the stored rows, those of the partitions it touches and their values.
+def _commit(
+    table: Table,
+    spark: SparkSession,
+    change: Callable[[DataFrame], tuple[DataFrame, list | None]],
+    batch: int | None = None,
+    expire_below: str | None = None,
+) -> None:
+    """Write a new version. ``change`` gives, for the stored rows, those of the partitions it touches and their values (None: all).
+
+    A version that holds stream batch ``batch`` already stays as it is, so a replayed batch counts
+    once. Partitions whose value sorts before ``expire_below`` are left out of the new version.
 
     Rebalancing cuts large partitions into several files and joins small ones. If another writer
     has published first, the change is made again on what that one left.
@@ -160,6 +169,8 @@ def _commit(table: Table, spark: SparkSession, change: Callable[[DataFrame], tup
     versions = Versions(spark, table.path)
     for _ in range(ATTEMPTS):
         before = versions.latest()
+        if batch is not None and before.batch is not None and before.batch >= batch:
+            return
         merged, touched = change(table._stored(spark, before))
         folder = versions.folder(before.number + 1)
         (
@@ -169,9 +180,11 @@ def _commit(table: Table, spark: SparkSession, change: Callable[[DataFrame], tup
             .partitionBy(table.partition)
             .parquet(f"{table.path}/{folder}")
         )
-        gone = {versions.partition_name(table.partition, v) for v in touched}
-        stay = {name: f for name, f in before.folders.items() if name not in gone}
-        if versions.publish(Version(before.number + 1, {**stay, **versions.partitions(folder)})):
+        gone = before.folders if touched is None else {versions.partition_name(table.partition, v) for v in touched}
+        now = {name: f for name, f in before.folders.items() if name not in gone} | versions.partitions(folder)
+        if expire_below is not None:
+            now = {name: f for name, f in now.items() if name >= f"{table.partition}={expire_below}"}
+        if versions.publish(Version(before.number + 1, now, before.batch if batch is None else batch)):
             versions.expire(table.keep)
             return
         versions.drop(folder)
@@ -184,11 +197,15 @@ def upsert(
     update_cols: Sequence[str] | None = None,
     order: Sequence[str] | None = None,
     do_nothing: bool = False,
+    batch: int | None = None,
+    expire_below: str | None = None,
 ) -> None:
     """Insert rows, or update the stored row of the same key.
 
     Several updates of one key count as the last one in ``order``. A key moves with its partition
-    column, so that column must be part of the key or never change.
+    column, so that column must be part of the key or never change. ``batch`` and ``expire_below`` are
+    for streams: rows of a batch that is in the table already change nothing, and partitions before
+    the given value are dropped.
     """
     changes = table.shaped(last_per_key(updates, table.keys, order)).persist()
 
@@ -197,11 +214,16 @@ def upsert(
         return merge(_only(table, stored, changes.select(table.partition).distinct()), changes, table.keys, update_cols, do_nothing), touched
 
     try:
-        _commit(table, updates.sparkSession, change)
+        _commit(table, updates.sparkSession, change, batch, expire_below)
     finally:
         changes.unpersist()
 
 
+def replace_all(table: Table, rows: DataFrame, batch: int | None = None) -> None:
+    """Make ``rows`` the whole table."""
+    _commit(table, rows.sparkSession, lambda stored: (table.shaped(rows), None), batch)
+
+
 def without_keys(target: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _meet(target, gone.select(*keys).distinct(), keys, "left_anti")
 

@@ -1,14 +1,12 @@
-"""The tick stream: cleaned ticks, latest prices, daily bars and minute bars, kept up to date.
+"""The tick stream: cleaned ticks, latest prices, daily and minute bars, changes and late ticks, kept up to date.
 
-Every running value is a streaming aggregate in update mode: Spark combines each batch per key
-before the shuffle, keeps the state in its store, and hands out the full row again when it changed.
-The sinks upsert by key, so a replayed batch writes the same rows.
+Raw ticks are appended by the exactly-once file sink. Everything else comes from one stream whose
+batches are read once and committed table by table (``sinks``). Bars are merged from partial bars,
+which combine before the shuffle, so a hot symbol costs a batch one row per bucket.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,36 +14,20 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quotemill import schemas
 from quotemill.functions.calendar import MARKET_ZONE, in_trading_hours
-from quotemill.functions.scalars import base_symbol, latency_ms, round2
-from quotemill.operators.bars import TICK_ORDER, bars, daily_bars, finalize_daily, latest_by_symbol
+from quotemill.operators.bars import bars, daily_bars, finalize_daily, latest_by_symbol
 from quotemill.operators.filters import valid_ticks
-from quotemill.operators.market import gainers_losers
-from quotemill.operators.runs import previous
 from quotemill.sources.files import read_ticks, split_unparsed
-from quotemill.sources.tables import Table, last_per_key, upsert
+from quotemill.sources.tables import last_per_key
+from quotemill.streaming.changes import CHANGE_SECONDS, latest_changes, live_movers, recent_changes, serving_rounded
+from quotemill.streaming.sinks import TickSinks, serving_tables, split_late
+
+__all__ = [
+    "clean_ticks", "late_policy", "latest_changes", "live_movers", "recent_changes", "run_available", "serving_rounded", "serving_tables",
+    "split_late", "stateful_daily", "stateful_latest", "stateful_minute", "stored_ticks", "tick_pipeline", "trading_gate",
+]
 
 DAILY_DELAY = "1 day"
 MINUTE_DELAY = "10 minutes"
-# Fixed value: how many seconds a change stays readable.
-CHANGE_SECONDS = 120
-CHANGE_COLUMNS = ("price", "change", "change_percent", "day_volume", "last_size")
-ROUNDED = ("price", "change", "change_percent")
-
-_MOVERS = schemas.columns(
-    "side string, position int, symbol string, price double, change double, change_percent double, day_volume bigint"
-)
-
-
-def serving_tables(out: str) -> dict[str, Table]:
-    """The keyed tables below a folder."""
-    return {
-        "latest": Table(f"{out}/stock_latest_prices", schemas.TIMED_TICK, ("symbol",)),
-        "daily": Table(f"{out}/stock_daily_summary", schemas.DAILY, ("symbol", "trade_date"), "trade_date"),
-        "minute": Table(
-            f"{out}/stock_prices_agg", schemas.BARS, ("symbol", "bucket_date", "interval", "ts"), "bucket_date"
-        ),
-        "movers": Table(f"{out}/movers", _MOVERS, ("side", "position"), buckets=1),
-    }
 
 
 def clean_ticks(ticks: DataFrame) -> DataFrame:
@@ -53,10 +35,6 @@ def clean_ticks(ticks: DataFrame) -> DataFrame:
     return split_unparsed(valid_ticks(ticks))[0]
 
 
-def serving_rounded(ticks: DataFrame) -> DataFrame:
-    return ticks.withColumns({c: round2(c) for c in ROUNDED})
-
-
 def stateful_daily(ticks: DataFrame, delay: str = DAILY_DELAY) -> DataFrame:
     """Running daily bars of a stream; a day leaves the state once the watermark has passed it."""
     return finalize_daily(daily_bars(late_policy(ticks, delay)))
@@ -81,123 +59,6 @@ def trading_gate(ticks: DataFrame, zone: str = MARKET_ZONE) -> DataFrame:
     return ticks.filter(in_trading_hours("event_ts", zone))
 
 
-# --- change feed --------------------------------------------------------------------------------
-
-
-def latest_changes(ticks: DataFrame, latest: DataFrame | None = None, now_ms=None) -> DataFrame:
-    """One row per tick with the columns that differ from the symbol's row before, NULL elsewhere.
-
-    ``latest`` is the stored state before these ticks. Ticks that change nothing give no row.
-    """
-    rows = previous(ticks, ["symbol"], TICK_ORDER, {f"_was_{c}": c for c in CHANGE_COLUMNS} | {"_was_known": "seq"})
-    if latest is not None:
-        stored = latest.select("symbol", *[F.col(c).alias(f"_old_{c}") for c in CHANGE_COLUMNS])
-        rows = rows.join(stored, "symbol", "left")
-        first = F.col("_was_known").isNull()
-        rows = rows.withColumns(
-            {f"_was_{c}": F.when(first, F.col(f"_old_{c}")).otherwise(F.col(f"_was_{c}")) for c in CHANGE_COLUMNS}
-        )
-    changed = {c: F.when(~F.equal_null(F.col(c), F.col(f"_was_{c}")), F.col(c)) for c in CHANGE_COLUMNS}
-    any_changed = F.coalesce(*[changed[c].cast("string") for c in CHANGE_COLUMNS]).isNotNull()
-    seen_at = now_ms if now_ms is not None else F.unix_millis("event_ts")
-    return rows.filter(any_changed).select(
-        base_symbol("symbol").alias("symbol"),
-        "event_ts",
-        "seq",
-        *[changed[c].alias(c) for c in CHANGE_COLUMNS],
-        "producer_timestamp",
-        latency_ms(seen_at, "producer_timestamp").alias("latency_ms"),
-    )
-
-
-def recent_changes(changes: DataFrame, now, seconds: int = CHANGE_SECONDS) -> DataFrame:
-    """Changes that have not expired yet."""
-    at = F.lit(now).cast("timestamp")
-    return changes.filter(F.col("event_ts") > at - F.make_interval(secs=F.lit(seconds)))
-
-
-def live_movers(latest: DataFrame, k: int = 5) -> DataFrame:
-    """Largest rises and falls of the current latest prices."""
-    return gainers_losers(latest, k).select("side", "position", "symbol", "price", "change", "change_percent", "day_volume")
-
-
-# --- sinks --------------------------------------------------------------------------------------
-
-
-def _start(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict) -> StreamingQuery:
-    return (
-        stream.writeStream.outputMode("update")
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
-        .start()
-    )
-
-
-def _upsert_into(table: Table, order: list[str] | None = None) -> Callable[[DataFrame, int], None]:
-    return lambda batch, _id: upsert(table, batch, order=order)
-
-
-def _latest_sink(tables: dict[str, Table]) -> Callable[[DataFrame, int], None]:
-    def write(batch: DataFrame, _id: int) -> None:
-        upsert(tables["latest"], batch, order=list(TICK_ORDER))
-        upsert(tables["movers"], live_movers(tables["latest"].read(batch.sparkSession)))
-
-    return write
-
-
-def _change_sink(out: str) -> Callable[[DataFrame, int], None]:
-    """Changes against the state before the batch. State and output are kept per batch, so a replay repeats them."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state = f"{out}/change_state"
-        before = spark.read.schema(schemas.TIMED_TICK).parquet(f"{state}/batch={batch_id - 1}") if batch_id else None
-        batch = batch.select(*schemas.TIMED_TICK.names).persist()
-        try:
-            rows = latest_changes(batch, before)
-            rows.write.mode("overwrite").parquet(f"{out}/changes/batch={batch_id}")
-            known = batch if before is None else before.unionByName(batch)
-            latest_by_symbol(known).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
-        finally:
-            batch.unpersist()
-
-    return write
-
-
-def split_late(batch: DataFrame, seen_until, delay: str) -> tuple[DataFrame, DataFrame]:
-    """Rows in time, and rows more than ``delay`` behind the newest time seen in earlier batches."""
-    late = F.lit(False) if seen_until is None else F.col("event_ts") < F.lit(seen_until) - F.expr(f"interval {delay}")
-    return batch.filter(~late), batch.filter(late)
-
-
-def _late_sink(out: str, delay: str) -> Callable[[DataFrame, int], None]:
-    """Late rows per batch, and the newest time seen up to each batch; a replay finds the same state."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        marks = f"{out}/seen_until"
-        schema = "seen_until timestamp"
-        before = None
-        if batch_id:
-            before = spark.read.schema(schema).parquet(f"{marks}/batch={batch_id - 1}").first()[0]
-        batch = batch.persist()
-        try:
-            split_late(batch, before, delay)[1].write.mode("overwrite").parquet(f"{out}/late/batch={batch_id}")
-            newest = batch.agg(F.max("event_ts").alias("m"))
-            seen = newest.select(F.greatest(F.col("m"), F.lit(before).cast("timestamp")).alias("seen_until"))
-            seen.write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
-        finally:
-            batch.unpersist()
-
-    return write
-
-
-def read_batches(spark: SparkSession, folder: str) -> DataFrame:
-    """All batches a per-batch sink has written."""
-    return spark.read.parquet(folder).drop("batch")
-
-
 def stored_ticks(spark: SparkSession, out: str) -> DataFrame:
     """The appended ticks with one row per symbol and time, the last one written."""
     rows = spark.read.schema(T.StructType([*schemas.TIMED_TICK.fields, T.StructField("trade_date", T.DateType())]))
@@ -216,21 +77,18 @@ def tick_pipeline(
     schema: T.StructType = schemas.TICK,
     once: bool = False,
     every: str = "5 seconds",
+    change_seconds: int | None = CHANGE_SECONDS,
     **options,
 ) -> dict[str, StreamingQuery]:
-    """Start the wanted sinks over one source.
+    """Start the wanted sinks over one source: ``ticks`` on its own, all others as one stream, ``tables``.
 
-    ``once`` works off what is there and stops; otherwise a batch starts every ``every``.
+    ``once`` works off what is there and stops; otherwise a batch starts every ``every``. The
+    checkpoints lie below ``out``, as the tables know the batches they hold: a stream that starts
+    without its checkpoint needs a new folder.
     """
     ticks = clean_ticks(read_ticks(spark, source, streaming=True, fmt=fmt, schema=schema, **options))
-    tables = serving_tables(out)
     trigger = {"availableNow": True} if once else {"processingTime": every}
     started = {}
-
-    def start(name: str, stream: DataFrame, write: Callable[[DataFrame, int], None]) -> None:
-        if name in sinks:
-            started[name] = _start(stream, write, f"{out}/_checkpoints/{name}", trigger)
-
     if "ticks" in sinks:
         # ticks only ever grow: they are appended by the exactly-once file sink, never rewritten
         started["ticks"] = (
@@ -243,11 +101,15 @@ def tick_pipeline(
             .trigger(**trigger)
             .start()
         )
-    start("latest", stateful_latest(serving_rounded(ticks)), _latest_sink(tables))
-    start("daily", stateful_daily(ticks), _upsert_into(tables["daily"]))
-    start("minute", stateful_minute(ticks), _upsert_into(tables["minute"]))
-    start("changes", ticks, _change_sink(out))
-    start("late", ticks, _late_sink(out, MINUTE_DELAY))
+    wanted = tuple(s for s in sinks if s != "ticks")
+    if wanted:
+        started["tables"] = (
+            ticks.writeStream.outputMode("append")
+            .foreachBatch(TickSinks(out, wanted, change_seconds).write)
+            .option("checkpointLocation", f"{out}/_checkpoints/tables")
+            .trigger(**trigger)
+            .start()
+        )
     return started
 
 
