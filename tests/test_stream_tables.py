@@ -97,17 +97,17 @@ def test_nothing_grows_with_the_batches(spark, make_ticks, tmp_path, rows):
     """Batches of the change feed: folders stay few, changes expire, the feed goes on across batches."""
     sinks = TickSinks(str(tmp_path), ("changes",), 120)
     folders = []
-    for number in range(16):
+    for number in range(8):
         at = START + dt.timedelta(seconds=20 * number)
         sinks.write(make_ticks(("A.VN", at.isoformat(sep=" "), 10 + number // 2, 1, 5)).withColumn("seq", F.lit(number).cast("long")), number)
         folders.append(sum(len(d) for _, d, _ in os.walk(tmp_path)))
     left = rows(sinks.tables["changes"].read(spark), "seq", "price", "day_volume")
     # a price changes with every second batch; the minutes that are older than 120 s are gone
-    assert left and left[-1] == (14, 17.0, None) and all(seq % 2 == 0 for seq, _, _ in left)
-    newest = START + dt.timedelta(seconds=20 * 15)
+    assert left and left[-1] == (6, 13.0, None) and all(seq % 2 == 0 for seq, _, _ in left)
+    newest = START + dt.timedelta(seconds=20 * 7)
     assert len(left) <= 120 // 40 + 2
-    assert rows(sp.recent_changes(sinks.tables["changes"].read(spark), newest), "seq") == [(seq,) for seq, _, _ in left if seq > 15 - 6]
-    assert max(folders[10:]) <= max(folders[:10]) + 1
+    assert rows(sp.recent_changes(sinks.tables["changes"].read(spark), newest), "seq") == [(seq,) for seq, _, _ in left if seq > 7 - 6]
+    assert max(folders[6:]) <= max(folders[:6]) + 2
     assert sinks.tables["marks"].read(spark).count() <= 4
 
 
