@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quotemill.functions.formula import (
     POLARITY_SUFFIX,
@@ -115,38 +113,28 @@ def rank_ic(alphas: DataFrame, returns: DataFrame, min_samples: int = MIN_SAMPLE
     )
 
 
-@F.pandas_udf(T.DoubleType())
-def correlation_pvalue(r: pd.Series, n: pd.Series) -> pd.Series:
-    """Two-sided p-value of a correlation from the t distribution with n - 2 degrees of freedom."""
-    return pd.Series([_pvalue(a, int(b)) for a, b in zip(r, n, strict=True)], dtype="float64")
-
-
-def _pvalue(r: float, n: int) -> float | None:
-    if r is None or math.isnan(r) or n < 3:
-        return None
-    if abs(r) >= 1:
-        return 0.0
-    # P(|T| > t) is the regularised incomplete beta function at df / (df + t^2) = 1 - r^2
-    return _beta_ratio(1.0 - r * r, (n - 2) / 2.0, 0.5)
-
-
-def _beta_ratio(x: float, a: float, b: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x <= 0.0 or x >= 1.0:
-        return min(max(x, 0.0), 1.0)
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - _beta_ratio(1.0 - x, b, a)
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    ) / a
-    tail = 1.0
-    # evaluated from the far end inwards; 300 terms are far beyond double precision here
-    for m in range(300, 0, -1):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        tail = 1.0 + even / (1.0 + odd / tail)
-    first = -(a + b) * x / (a + 1.0)
-    return front / (1.0 + first / tail)
+def correlation_pvalue(r: Column | str, n: Column | str) -> Column:
+    """Two-sided p-value of a correlation ``r`` of ``n`` pairs; NULL without one or below 3 pairs.
+
+    It is that of Student's t with n - 2 degrees of freedom, which for whole degrees is a finite sum:
+    with x = 1 - r^2, P(|T| <= t) is |r| (1 + x/2 + 1*3/(2*4) x^2 + ..) for even ones, and
+    2/pi (asin |r| + |r| sqrt(x) (1 + 2/3 x + 2*4/(3*5) x^2 + ..)) for odd ones.
+    """
+    r, n = (F.col(c) if isinstance(c, str) else c for c in (r, n))
+    size, x = F.least(F.abs(r), F.lit(1.0)), F.greatest(1 - r * r, F.lit(0.0))
+    odd = n % 2 == 1
+    terms = F.floor((n - F.when(odd, 3).otherwise(2)) / 2).cast("int")  # none for 3 pairs
+    shift = F.when(odd, 1).otherwise(0)
+    step = lambda k: x * (2 * k - 1 + shift) / (2 * k + shift)
+    total = F.aggregate(
+        F.when(terms > 1, F.sequence(F.lit(1), terms - 1)).otherwise(F.array().cast("array<int>")),
+        F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
+        lambda acc, k: F.struct((acc["term"] * step(k)).alias("term"), (acc["total"] + acc["term"] * step(k)).alias("total")),
+        lambda acc: acc["total"],
+    )
+    inside = F.when(odd, (F.asin(size) + F.when(terms > 0, size * F.sqrt(x) * total).otherwise(0.0)) * (2 / math.pi)).otherwise(size * total)
+    known = r.isNotNull() & ~F.isnan(r) & (n >= 3)
+    return F.when(known, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - inside)))
 
 
 def select_best_alphas(scores: DataFrame, k: int = FORMULAS_PER_STOCK) -> DataFrame:

@@ -141,48 +141,67 @@ def word_score(text: Column | str, good: tuple[str, ...] = GOOD_WORDS, bad: tupl
 
 def score_articles(
     news: DataFrame,
-    text_scorer: Callable[[pd.Series], pd.Series] | None = None,
-    pdf_scorer: Callable[[pd.Series], pd.Series] | None = None,
+    text_scorer: Callable[..., pd.Series] | None = None,
+    pdf_scorer: Callable[..., pd.Series] | None = None,
     chars: int | None = None,
+    code_col: str | None = None,
+    pdfs: DataFrame | None = None,
+    good: tuple[str, ...] = GOOD_WORDS,
+    bad: tuple[str, ...] = BAD_WORDS,
 ) -> DataFrame:
-    """Add ``sentiment_score`` in -1..1; a failing or missing score counts as 0.
+    """Add ``sentiment_score`` in -1..1. Per row: what its PDF says, else its text, else 0.
 
     A text scorer sees the whole content, or its first ``chars`` characters where a model takes no
-    more; a PDF scorer sees the link. Both are vectorised functions. Without a text scorer the word
-    list decides, and a PDF gets 0.
+    more; without one the word lists decide. A PDF scorer sees the link, or where ``pdfs`` (path,
+    content, as ``binaryFile`` reads them) is given the bytes of the file the link names; a PDF that
+    has no file, or that the scorer fails on, goes by its text. Scorers are vectorised functions;
+    with ``code_col`` they are given the stock's code as a second series, to score for that stock.
     """
-    seen = F.coalesce("content", F.lit(""))
-    seen = seen if chars is None else F.substring(seen, 1, chars)
-    # Spark runs Python functions on all rows, so each scorer is given NULL for those of the other
+    text = F.coalesce("content", F.lit(""))
+    text = text if chars is None else F.substring(text, 1, chars)
     is_pdf = F.coalesce("is_pdf", F.lit(False))
-    text = word_score(seen) if text_scorer is None else _guarded(text_scorer)(F.when(~is_pdf, seen))
-    pdf = F.lit(0.0) if pdf_scorer is None else _guarded(pdf_scorer)(F.when(is_pdf, F.coalesce("pdf_link", "link")))
-    score = F.when(F.col("is_pdf"), pdf).otherwise(text)
-    score = F.when(F.isnan(score), 0.0).otherwise(F.coalesce(score, F.lit(0.0)))
-    return news.withColumn("sentiment_score", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)))
-
-
-def _guarded(scorer: Callable[[pd.Series], pd.Series]):
+    link, rows = F.coalesce("pdf_link", "link"), news
+    if pdfs is not None:
+        files = pdfs.select(F.col("path").alias("_path"), F.col("content").alias("_bytes"))
+        rows = news.withColumn("_link", F.when(is_pdf, link)).join(files, F.col("_link") == F.col("_path"), "left")
+    code = F.lit(None).cast("string") if code_col is None else F.col(code_col)
+    # Spark runs Python functions on all rows, so each scorer is given NULL for those it has no say in
+    seen = F.lit(None).cast("double")
+    if pdf_scorer is not None:
+        what = F.when(is_pdf, link if pdfs is None else F.col("_bytes"))
+        kept = [*news.columns, "_pdf_score"]
+        rows = rows.withColumn("_pdf_score", F.nanvl(_guarded(pdf_scorer, code_col is not None)(what, code), F.lit(None).cast("double"))).select(kept)
+        seen = F.col("_pdf_score")
+    by_text = word_score(text, good, bad) if text_scorer is None else _guarded(text_scorer, code_col is not None)(F.when(seen.isNull(), text), code)
+    score = F.coalesce(seen, F.nanvl(by_text, F.lit(None).cast("double")), F.lit(0.0))
+    scored = rows.withColumn("sentiment_score", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)))
+    return scored.select(*[c for c in news.columns if c != "sentiment_score"], "sentiment_score")
+
+
+def _guarded(scorer: Callable[..., pd.Series], with_code: bool):
     """The scorer on all rows that aren't NULL.
 
     A batch that it cannot handle is tried row by row, so one bad row costs only itself.
     """
 
-    def one(value: str) -> float | None:
+    def scores(values: pd.Series, codes: pd.Series) -> pd.Series:
+        return scorer(values, codes) if with_code else scorer(values)
+
+    def one(value, code) -> float:
         try:
-            return float(scorer(pd.Series([value])).iloc[0])
+            return float(scores(pd.Series([value]), pd.Series([code])).iloc[0])
         except Exception:
-            return None
+            return float("nan")
 
     @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for values in batches:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for values, codes in batches:
             out, own = pd.Series(float("nan"), values.index), values[values.notna()]
             if len(own):
                 try:
-                    out[own.index] = scorer(own).astype("float64").to_numpy()
+                    out[own.index] = scores(own, codes[own.index]).astype("float64").to_numpy()
                 except Exception:
-                    out[own.index] = own.map(one).astype("float64")
+                    out[own.index] = [one(v, c) for v, c in zip(own, codes[own.index])]
             yield out
 
     return run

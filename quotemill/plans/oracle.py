@@ -644,6 +644,13 @@ CASE WHEN close <> open THEN (high - low) / (close - open) * volume + 2.5::DOUBL
     # factors
     "alpha_values": f"WITH {ALPHAS} SELECT stock_code, trade_date, formula, round(value, 3) + 0.0 AS value FROM alphas",
     "alpha_scores": f"WITH {ALPHAS} SELECT stock_code, formula, round(rank_ic, 4) + 0.0 AS rank_ic, n_samples FROM scores",
+    "alpha_pvalues": f"""WITH {ALPHAS}, s AS (SELECT *, abs(rank_ic) AS a, 1 - rank_ic * rank_ic AS x FROM scores),
+p AS (
+  SELECT *, CASE WHEN rank_ic IS NULL THEN NULL WHEN a >= 1 THEN 1.0::DOUBLE
+    WHEN n_samples % 2 = 0 THEN a * list_sum([exp(lgamma(k + 0.5) - lgamma(k + 1.0) + k * ln(x)) for k in range(0, (n_samples - 2) // 2)]) / sqrt(pi())
+    ELSE 2 / pi() * (asin(a) + a * sqrt(x) * list_sum([exp(lgamma(k + 1.0) - lgamma(k + 1.5) + k * ln(x)) for k in range(0, (n_samples - 3) // 2)]) * sqrt(pi()) / 2) END AS inside
+  FROM s)
+SELECT stock_code, formula, round(greatest(1 - inside, 0), 6) + 0.0 AS pvalue FROM p""",
     "best_alphas": f"""WITH {ALPHAS} SELECT stock_code, formula, position FROM
 (SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY rank_ic DESC NULLS LAST, formula) AS position FROM scores) WHERE position <= 5""",
     "champions": f"""WITH {MODEL_RUNS}
@@ -656,7 +663,7 @@ FROM runs n LEFT JOIN runs o ON o.stock_code = n.stock_code AND o.trained_on = D
     "scored_articles": f"""WITH {NEWS},
 w AS (SELECT article_id, is_pdf, regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}_]+') AS t FROM news),
 c AS (SELECT *, len(list_filter(t, lambda x: x IN ('the', 'and', 'de', 'la', 'der'))) AS g, len(list_filter(t, lambda x: x IN ('of', 'in', 'le', 'el', 'und'))) AS b FROM w)
-SELECT article_id, is_pdf, CASE WHEN is_pdf OR g + b = 0 THEN 0.0 ELSE round((g - b)::DOUBLE / (g + b)::DOUBLE, 4) + 0.0 END AS score FROM c""",
+SELECT article_id, is_pdf, CASE WHEN is_pdf AND article_id::INT % 3 <> 0 THEN (length(article_id) + 2) % 3 - 1.0 WHEN g + b = 0 THEN 0.0 ELSE round((g - b)::DOUBLE / (g + b)::DOUBLE, 4) + 0.0 END AS score FROM c""",
     # streaming
     "stream_daily": f"WITH {DAILY} SELECT * FROM daily",
     "stream_minute": f"""WITH {TICKS}, b AS ({_bars_over("1 minute", "valid").replace("LABEL", "'1m'")})

@@ -861,7 +861,7 @@ def alpha_scores(t):
 
 @query
 def alpha_pvalues(t):
-    return al.score_formulas(t.features, t.catalog).select("stock_code", "formula", "pvalue")
+    return rounded(al.score_formulas(t.features, t.catalog).select("stock_code", "formula", "pvalue"), "pvalue", digits=6)
 
 
 @query
@@ -896,8 +896,12 @@ def saveable_predictions(t):
 @query
 def scored_articles(t):
     good, bad = ("the", "and", "de", "la", "der"), ("of", "in", "le", "el", "und")
-    out = t.news.select("article_id", "is_pdf", F.when(F.col("is_pdf"), 0.0).otherwise(nw.word_score("content", good, bad)).alias("score"))
-    return rounded(out, "score")
+    # a PDF is read by its own scorer, here one that knows no text and leaves every third to the article's
+    read = lambda links, codes: links.str.len() % 3 - 1.0 + 0.0 * codes.str.len()
+    unread = F.col("article_id").cast("int") % 3 == 0
+    rows = t.news.withColumn("pdf_link", F.when(F.col("is_pdf") & ~unread, F.concat(F.lit("f/"), "article_id"))).withColumn("link", F.lit(None).cast("string"))
+    out = nw.score_articles(rows, pdf_scorer=read, code_col="stock_code", good=good, bad=bad)
+    return rounded(out.select("article_id", "is_pdf", F.col("sentiment_score").alias("score")), "score")
 
 
 # --- streaming ----------------------------------------------------------------------------------

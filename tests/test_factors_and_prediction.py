@@ -134,9 +134,23 @@ def test_rank_ic(spark):
     assert perfect["rank_ic"] == pytest.approx(1.0) and perfect["pvalue"] == pytest.approx(0.0, abs=1e-12)
 
 
-@pytest.mark.parametrize("r, n, p", [(0.0, 10, 1.0), (0.632, 10, 0.0500), (0.5, 3, 2 / 3), (-0.3, 100, 0.00243)])
-def test_pvalue(r, n, p):
-    assert al._pvalue(r, n) == pytest.approx(p, rel=0.01)
+@pytest.mark.parametrize("r, n, p", [(0.0, 10, 1.0), (0.632, 10, 0.0500), (0.5, 3, 2 / 3), (-0.3, 100, 0.00243), (0.5, 4, 0.5), (1.0, 7, 0.0), (None, 9, None), (0.5, 2, None)])
+def test_pvalue(spark, r, n, p):
+    row = spark.createDataFrame([(r, n)], "r double, n long").select(al.correlation_pvalue("r", "n")).first()
+    assert row[0] == (p if p is None else pytest.approx(p, rel=0.01, abs=1e-12))
+
+
+@pytest.mark.parametrize("n", [3, 4, 5, 6, 9, 10, 31, 200, 1001])
+def test_pvalue_is_the_tail_of_t(spark, n):
+    """Against the density of t, summed over a fine grid of angles."""
+    df = n - 2
+    rs = [0.01, 0.2, -0.6, 0.9]
+    got = [x[0] for x in spark.createDataFrame([(r, n) for r in rs], "r double, n int").select(al.correlation_pvalue("r", "n")).collect()]
+    # with t = sqrt(df) tan(a), the density of a is cos(a)^(df - 1), and sin(a) = r
+    angle = (np.arange(2_000_000) + 0.5) * (math.pi / 2 / 2_000_000)
+    weight = np.cos(angle) ** (df - 1)
+    for r, p in zip(rs, got):
+        assert p == pytest.approx(weight[angle > math.asin(abs(r))].sum() / weight.sum(), rel=1e-4, abs=1e-9)
 
 
 def test_selection_and_audit(spark, rows):

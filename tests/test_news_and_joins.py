@@ -129,7 +129,7 @@ def test_scoring(spark):
         schema,
     )
     got = {r["article_id"]: r["sentiment_score"] for r in nw.score_articles(df).collect()}
-    assert {k: round(v, 4) for k, v in got.items()} == {"1": 0.3333, "2": 0.0, "3": 0.0, "4": 0.0, "5": 0.0}
+    assert {k: round(v, 4) for k, v in got.items()} == {"1": 0.3333, "2": 0.0, "3": 1.0, "4": 0.0, "5": 0.0}
 
     def scorer(texts: pd.Series) -> pd.Series:
         if (texts == "bad").any():
@@ -138,3 +138,29 @@ def test_scoring(spark):
 
     got = {r["article_id"]: r["sentiment_score"] for r in nw.score_articles(df, scorer, lambda links: links.map({"p": -7.0})).collect()}
     assert got == {"1": 1.0, "2": 0.0, "3": -1.0, "4": 0.0, "5": 1.0}
+
+
+def test_pdf_bytes_then_text_then_nothing(spark, tmp_path):
+    """The scorer gets the file's bytes and the stock's code; what it can't read goes by the text."""
+    for name, text in (("a.pdf", b"+1"), ("b.pdf", b"broken"), ("c.pdf", b"-1")):
+        (tmp_path / name).write_bytes(text)
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    link = lambda n: f"file:{tmp_path}/{n}"
+    rows = [
+        (1, "FPT", True, link("a.pdf"), "loss"), (2, "FPT", True, link("b.pdf"), "profit"), (3, "VCB", True, link("c.pdf"), None),
+        (4, "VCB", True, link("none.pdf"), "loss"), (5, "VCB", True, None, None), (6, "VCB", False, link("a.pdf"), "profit loss gain"),
+    ]
+    news = spark.createDataFrame([(*r[:4], None, r[4]) for r in rows], "id int, stock_code string, is_pdf boolean, pdf_link string, link string, content string")
+
+    def read(files, codes):
+        return pd.Series([float(bytes(f)) / (2 if c == "VCB" else 1) for f, c in zip(files, codes)])
+
+    got = nw.score_articles(news, pdf_scorer=read, code_col="stock_code", pdfs=files)
+    assert got.columns == [*news.columns, "sentiment_score"]
+    assert {r["id"]: round(r["sentiment_score"], 3) for r in got.collect()} == {1: 1.0, 2: 1.0, 3: -0.5, 4: -1.0, 5: 0.0, 6: 0.333}
+
+    def of_stock(texts, codes):
+        return pd.Series([1.0 if c in t else 0.5 for t, c in zip(texts, codes)])
+
+    named = news.filter("NOT is_pdf").withColumn("content", F.lit("VCB rises"))
+    assert nw.score_articles(named, of_stock, code_col="stock_code").first()["sentiment_score"] == 1.0
