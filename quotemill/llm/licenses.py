@@ -23,9 +23,13 @@ NOTICES = (
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
     ("gpl-3.0", "under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl-3.0", "this program is free software you can redistribute it and or modify it"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 #: All characters that are not part of a word.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -62,10 +66,13 @@ def license_spans(
     """Places of templates: doc_id, digest, label, exact, first_word, last_word, score.
 
     Hashes of all word pairs of a text meet the template pairs with that hash; words are compared
-    too. Hits are counted by template and diagonal (word position less template position).
-    Diagonals up to ``drift`` apart are one place, which lets words be added or left out. A place is
-    verified by the share of the template's pairs that it holds: all for ``base`` phrases, each
-    diagonal on its own, and ``least`` for the others. ``last_word`` is where the last pair ends.
+    too. Hits are counted by template and diagonal (word position less template position). Each
+    diagonal and those up to ``drift`` above it are one candidate place, so at most ``drift`` words
+    are added or left out in all. A place with enough votes is verified by its longest chain of hits
+    whose text and template positions both rise: the chain's share of the template's pairs must be
+    all for ``base`` phrases, each diagonal on its own, and ``least`` for the others. Its span is so
+    at most ``drift`` words longer than the template. Of places that share diagonals the best stays
+    (ties: the first). ``last_word`` is where the last pair ends.
     """
     spark = docs.sparkSession
     rows = identified(docs, id_col, text_col).select("doc_id", DIGEST, words_of(F.col("text")).alias("w"))
@@ -76,22 +83,50 @@ def license_spans(
     # the wordings above are a fixed, short list
     hits = pairs.join(F.broadcast(template_pairs(spark, notices, base)), "pair_hash").where("w1 = t1 AND w2 = t2")
     kind = ["doc_id", DIGEST, "template", "label", "exact", "pairs"]
-    votes = hits.select(*kind, (F.col("pos") - F.col("at")).alias("diagonal"), "pos", "at").distinct()
-    diagonals = votes.groupBy(*kind, "diagonal").agg(
-        F.collect_set("at").alias("ats"), F.min("pos").alias("first"), F.max("pos").alias("last")
-    )
+    votes = hits.select(*kind, (F.col("pos") - F.col("at")).alias("diagonal"), "at")
+    # a diagonal holds a template position once, so its set has at most as many as the template
+    diagonals = votes.groupBy(*kind, "diagonal").agg(F.collect_set("at").alias("ats"))
     by_place = Window.partitionBy("doc_id", DIGEST, "template").orderBy("diagonal")
-    gap = F.col("diagonal") - F.lag("diagonal").over(by_place)
-    opens = F.when(F.col("exact") | gap.isNull() | (gap > drift), 1).otherwise(0)
-    placed = diagonals.withColumn("opens", opens).withColumn("place", F.sum("opens").over(by_place))
-    merged = placed.groupBy(*kind, "place").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("found"),
-        F.min("first").cast("long").alias("first_word"),
-        (F.max("last") + 1).cast("long").alias("last_word"),
+    on = F.transform("ats", lambda at: F.struct((F.col("diagonal") + at).alias("pos"), (-at).alias("back")))
+    near = by_place.rangeBetween(0, drift)
+    enough = F.when(F.col("exact"), F.size("ats") == F.col("pairs")).otherwise(F.sum(F.size("ats")).over(near) >= least * F.col("pairs"))
+    places = diagonals.withColumn("on", on).withColumn("enough", enough).withColumn("around", F.collect_list("on").over(near))
+    hits_of = F.when(F.col("exact"), F.col("on")).otherwise(F.flatten("around"))
+    chained = places.where("enough").withColumn("chain", longest_chain(F.array_sort(hits_of), F.col("pairs")))
+    score = F.col("chain.hits") / F.col("pairs")
+    verified = chained.withColumn("score", score).where(F.when(F.col("exact"), score == 1).otherwise(score >= least))
+    rank = F.struct("score", -F.col("diagonal"))
+    best = F.max(rank).over(by_place.rangeBetween(-drift, drift))
+    kept = verified.withColumn("best", best).where(F.col("exact") | (F.col("best") == rank))
+    return kept.select(
+        "doc_id",
+        DIGEST,
+        "label",
+        "exact",
+        F.col("chain.first").cast("long").alias("first_word"),
+        (F.col("chain.last") + 1).cast("long").alias("last_word"),
+        "score",
     )
-    score = F.col("found") / F.col("pairs")
-    verified = F.when(F.col("exact"), F.col("found") == F.col("pairs")).otherwise(score >= least)
-    return merged.where(verified).select("doc_id", DIGEST, "label", "exact", "first_word", "last_word", score.alias("score"))
+
+
+def longest_chain(hits: Column, pairs: Column) -> Column:
+    """(hits, first, last) of the longest chain of ``hits`` with rising ``pos`` and template position.
+
+    ``hits`` are (pos, template position negated) in order; of one ``pos`` the later template
+    position so comes first and can't follow an earlier one. Slot i keeps the best chain that ends
+    at template position i; of equally long ones the latest start, which is the shortest span.
+    """
+    none = F.struct(F.lit(0).alias("hits"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+
+    def extend(slots: Column, hit: Column) -> Column:
+        at = -hit["back"]
+        # position 0 has no earlier slot, where the maximum is null
+        before = F.coalesce(F.array_max(F.slice(slots, 1, at)), none)
+        first = F.when(before["hits"] == 0, hit["pos"]).otherwise(before["first"])
+        longer = F.struct((before["hits"] + 1).alias("hits"), first.alias("first"), hit["pos"].alias("last"))
+        return F.transform(slots, lambda slot, i: F.when(i == at, F.greatest(slot, longer)).otherwise(slot))
+
+    return F.array_max(F.aggregate(hits, F.array_repeat(none, pairs), extend))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

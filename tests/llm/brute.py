@@ -79,6 +79,28 @@ def licenses(rows):
     return out
 
 
+def license_labels(text, notices, least=0.75, drift=2):
+    """All labels and the best score, by the longest chain of word pairs from every start."""
+    w = words(text)
+    labels, best = set(), 0.0
+    for phrase, label in BASE.items():
+        p = phrase.split()
+        if any(w[s : s + len(p)] == p for s in range(len(w))):
+            labels, best = labels | {label}, 1.0
+    for label, wording in notices:
+        t = wording.split()
+        hits = [(i, j) for i in range(len(w) - 1) for j in range(len(t) - 1) if w[i : i + 2] == t[j : j + 2]]
+        for low in {i - j for i, j in hits}:
+            near = [(i, j) for i, j in hits if low <= i - j <= low + drift]
+            length = {}
+            for i, j in near:
+                length[i, j] = 1 + max((n for (a, b), n in length.items() if a < i and b < j), default=0)
+            score = max(length.values()) / (len(t) - 1)
+            if score >= least:
+                labels, best = labels | {label}, max(best, score)
+    return ",".join(sorted(labels)), best
+
+
 def repeats(rows, size=50):
     """doc_id -> (n_bytes, n_removed, n_spans, sha256 of what is left)."""
     first = {}

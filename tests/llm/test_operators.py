@@ -224,6 +224,24 @@ def test_license_with_words_changed(spark):
     assert row.labels == "mit" and 0.75 <= row.score < 1
 
 
+def test_licenses_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = [(0, "released under x under x the x the mit x mit license"), (1, "released under the the mit license"), (2, "license mit the under released")]
+    for n in range(60):
+        label, wording = licenses.NOTICES[n % len(licenses.NOTICES)]
+        w = ("it is said that " + wording + " and so on ").split() * int(rng.integers(1, 3))
+        for _ in range(int(rng.integers(0, 8))):
+            at = int(rng.integers(0, len(w)))
+            w[at : at + int(rng.integers(0, 2))] = [str(rng.choice(["the", "license", "odd", w[at - 1]]))]
+        rows.append((3 + n, " ".join(w)))
+    found = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, text in rows:
+        labels, score = brute.license_labels(text, licenses.NOTICES)
+        assert (found[d].labels, found[d].score) == (labels, pytest.approx(score)), text
+    assert found[0].labels == "" and found[1].labels == "mit" and found[2].labels == ""
+    assert len({r.labels for r in found.values()}) > 8
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     vectors = {i: rng.normal(size=8).tolist() for i in range(300)}
