@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotemill.functions.calendar import local_time
+from quotemill.functions.calendar import MARKET_ZONE, in_trading_hours, local_time
 from quotemill.functions.ordering import order_key
 from quotemill.functions.scalars import base_symbol, price_limits, trend
 from quotemill.operators.bars import TICK_ORDER
@@ -153,10 +153,17 @@ def trade_tape(ticks: DataFrame, symbol: str, zone: str = "UTC") -> DataFrame:
 # --- running values over ticks ------------------------------------------------------------------
 
 
-def running_high_low(ticks: DataFrame, order: Sequence[str] = TICK_ORDER) -> DataFrame:
-    """Highest and lowest price of the day so far at every tick; only positive prices count."""
+def running_high_low(
+    ticks: DataFrame, order: Sequence[str] = TICK_ORDER, trading_hours: bool = False, zone: str = MARKET_ZONE
+) -> DataFrame:
+    """Highest and lowest price of the day so far at every tick; only positive prices count.
+
+    With ``trading_hours`` only ticks within the market's hours count; others show what was reached
+    before them, and NULL before the first that counts.
+    """
     keys = ["symbol", "trade_date"]
-    price = F.when(F.col("price") > 0, F.col("price"))
+    counts = F.col("price") > 0
+    price = F.when(counts & in_trading_hours("event_ts", zone) if trading_hours else counts, F.col("price"))
     rows = with_runs(ticks.withColumn("trade_date", F.to_date("event_ts")), keys, order)
     rows = carry_in(
         rows,
@@ -174,31 +181,28 @@ def running_high_low(ticks: DataFrame, order: Sequence[str] = TICK_ORDER) -> Dat
 
 
 def carry_change(ticks: DataFrame, ttl: str = "1 day", order: Sequence[str] = TICK_ORDER) -> DataFrame:
-    """Replace a zero change by the symbol's last non-zero one, unless that is older than ``ttl``."""
-    moved = F.col("change") != 0
-    parts = ("change", "change_percent", "event_ts")
+    """Replace a zero change by the symbol's last non-zero one, unless that is older than ``ttl``.
+
+    Change and percent are carried each on its own, with its own age.
+    """
+    parts = ("change", "change_percent")
     rows = with_runs(ticks, ["symbol"], order)
-    at = F.when(moved, order_key(ticks, order))
-    # a struct is NULL only where a run has no such row, whatever its fields are
-    seen = F.when(F.col("_n") > 0, F.struct(*[F.col(f"_seen_{c}").alias(c) for c in parts]))
-    rows = carry_in(
-        rows,
-        ["symbol"],
-        {**{f"_seen_{c}": F.max_by(c, at) for c in parts}, "_n": F.count_if(moved)},
-        {"_seen_in": (F.last(seen, ignorenulls=True), ["symbol"])},
-    )
-    local = F.last(F.when(moved, F.struct(*parts)), ignorenulls=True).over(so_far(["symbol"], order))
-    rows = rows.withColumn("_last", F.coalesce(local, "_seen_in"))
-    fresh = F.col("event_ts") < F.col("_last.event_ts") + F.expr(f"interval {ttl}")
-    zero = F.lit(0.0)
-    return rows.withColumns(
-        {
-            "shown_change": F.when(fresh, F.col("_last.change")).otherwise(F.coalesce("change", zero)),
-            "shown_change_percent": F.when(fresh, F.col("_last.change_percent")).otherwise(
-                F.coalesce("change_percent", zero)
-            ),
-        }
-    ).drop("_last", "_seen_in", "_run")
+    key = order_key(ticks, order)
+    per_run, carried = {}, {}
+    for c in parts:
+        at = F.when(F.col(c) != 0, key)
+        per_run |= {f"_v_{c}": F.max_by(c, at), f"_t_{c}": F.max_by("event_ts", at)}
+        seen = F.when(F.col(f"_v_{c}").isNotNull(), F.struct(F.col(f"_v_{c}").alias("v"), F.col(f"_t_{c}").alias("t")))
+        carried[f"_in_{c}"] = (F.last(seen, ignorenulls=True), ["symbol"])
+    rows = carry_in(rows, ["symbol"], per_run, carried)
+    w = so_far(["symbol"], order)
+    out = {}
+    for c in parts:
+        moved = F.when(F.col(c) != 0, F.struct(F.col(c).alias("v"), F.col("event_ts").alias("t")))
+        last = F.coalesce(F.last(moved, ignorenulls=True).over(w), f"_in_{c}")
+        fresh = F.col("event_ts") < last["t"] + F.expr(f"interval {ttl}")
+        out[f"shown_{c}"] = F.when(fresh, last["v"]).otherwise(F.coalesce(c, F.lit(0.0)))
+    return rows.withColumns(out).drop(*carried, "_run")
 
 
 DIRECTIONS = {"price": "price", "volume": "day_volume", "change": "change", "change_percent": "change_percent"}

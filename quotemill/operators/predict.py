@@ -6,14 +6,18 @@ the history.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quotemill.functions.calendar import calendar_features, next_weekday
 from quotemill.functions.scalars import confidence, is_finite, trend, trend_sign
@@ -149,6 +153,84 @@ def _vectors(windows: DataFrame) -> DataFrame:
     return windows.withColumn("features", array_to_vector(flat))
 
 
+def gram_sums(rows: DataFrame, x: str = "features", y: str = "target", key: str = "stock_code") -> DataFrame:
+    """Per stock the sums of products of the features, a constant 1 and the target, as one flat list.
+
+    Sums are made entry by entry, before the shuffle where they can be; what is left of a stock is
+    (p + 2) squared numbers for p features, whatever its history.
+    """
+    extended = F.concat(F.col(x), F.array(F.lit(1.0)), F.array(F.col(y).cast("double")))
+    rows = rows.select(key, extended.alias("_v"))
+    left = rows.select(key, "_v", F.posexplode("_v").alias("_i", "_a"))
+    entries = left.select(key, "_i", F.posexplode(F.transform("_v", lambda b: b * F.col("_a"))).alias("_j", "_ab"))
+    sums = entries.groupBy(key, "_i", "_j").agg(F.sum("_ab").alias("_s"))
+    cells = F.array_sort(F.collect_list(F.struct("_i", "_j", "_s")))
+    return sums.groupBy(key).agg(cells.alias("_cells")).select(key, F.col("_cells._s").alias("gram"))
+
+
+def _solve(gram: pd.Series, ridge: pd.Series) -> pd.Series:
+    def weights(flat, penalty):
+        size = math.isqrt(len(flat))
+        g = np.asarray(flat, dtype=float).reshape(size, size)
+        inner = g[:-1, :-1] + np.diag([*[penalty] * (size - 2), 0.0])
+        # the smallest weights where features depend on each other
+        return np.linalg.lstsq(inner, g[:-1, -1], rcond=None)[0].tolist()
+
+    return pd.Series([weights(g, p) for g, p in zip(gram, ridge)])
+
+
+def least_squares(rows: DataFrame, x: str = "features", y: str = "target", ridge: float = 0.0, key: str = "stock_code") -> DataFrame:
+    """(stock, weights): the linear fit of each stock on its own, the intercept last.
+
+    ``ridge`` times the number of rows is added to the diagonal, but for the intercept. Rows with
+    NULL or non-finite values should be left out before.
+    """
+    sums = gram_sums(rows, x, y, key)
+    n = F.element_at("gram", -(F.sqrt(F.size("gram")).cast("int") + 2))  # the sum of 1 x 1
+    solve = F.pandas_udf(_solve, T.ArrayType(T.DoubleType()))
+    return sums.select(key, solve("gram", F.lit(ridge) * n).alias("weights"))
+
+
+def linear_value(weights: Column | str, x: Column | str) -> Column:
+    """The fitted value: features times weights, summed in order, and the intercept."""
+    w = F.col(weights) if isinstance(weights, str) else weights
+    v = F.col(x) if isinstance(x, str) else x
+    products = F.zip_with(F.concat(v, F.array(F.lit(1.0))), w, lambda a, b: a * b)
+    return F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
+
+
+def linear_validation(
+    df: DataFrame, inputs: Sequence[str], close: str = "close", w: int = WINDOW, min_windows: int = MIN_WINDOWS, ridge: float = 0.0
+) -> tuple[DataFrame, DataFrame]:
+    """A least-squares fit of each stock's next close, and what it gives on the later windows.
+
+    Split, scaling and windows are those of ``train_and_validate``, with the closes and ``inputs``
+    of the window as features. First: (stock_code, target_date, target, predicted) in prices, for
+    the validation windows. Second: (stock_code, mse_loss, n_windows, weights), the error in scaled
+    units.
+    """
+    columns = [*inputs, close]
+    cut = split_date(df)
+    fit_rows = df.join(cut, "stock_code").filter(F.col("trade_date") <= F.col("cut"))
+    scaling = minmax_fit(fit_rows, columns)
+    scaled = minmax_apply(df, scaling, columns)
+    windows = sequences(scaled, [f"{c}_scaled" for c in inputs], f"{close}_scaled", w)
+    sizes = windows.groupBy("stock_code").agg(F.count(F.lit(1)).alias("n_windows")).filter(F.col("n_windows") >= min_windows)
+    flat = F.concat(F.flatten("inputs"), "closes")
+    data = windows.withColumn("features", flat).join(sizes, "stock_code").join(cut, "stock_code")
+    fitted = least_squares(data.filter(F.col("target_date") <= F.col("cut")), ridge=ridge)
+    later = data.filter(F.col("target_date") > F.col("cut")).join(fitted, "stock_code")
+    later = later.withColumn("scaled", linear_value("weights", "features"))
+    loss = later.groupBy("stock_code").agg(
+        F.avg(F.pow(F.col("scaled") - F.col("target"), 2)).alias("mse_loss"),
+        F.max("n_windows").alias("n_windows"),
+        F.first("weights").alias("weights"),
+    )
+    prices = minmax_invert(later, scaling, "scaled", close, "predicted")
+    prices = minmax_invert(prices, scaling, "target", close, "_price").drop("target").withColumnRenamed("_price", "target")
+    return prices.select("stock_code", "target_date", "target", "predicted"), loss
+
+
 def train_and_validate(
     df: DataFrame,
     inputs: Sequence[str],

@@ -285,6 +285,22 @@ CHECKED = ", ".join(
 )
 CATALOG = ", ".join(f"({_text(f)}, {i})" for i, f in enumerate(FORMULAS))
 
+LINEAR = (
+    BARS
+    + """,
+shares AS (SELECT stock_code, trade_date, close, cume_dist() OVER (PARTITION BY stock_code ORDER BY trade_date) AS share FROM bars),
+cuts AS (SELECT stock_code, max(trade_date) AS cut FROM shares WHERE share <= 0.8 GROUP BY ALL),
+scaling AS (SELECT stock_code, min(close) AS low, CASE WHEN max(close) = min(close) THEN 1.0 ELSE max(close) - min(close) END AS span
+            FROM shares WHERE share <= 0.8 GROUP BY ALL),
+steps AS (
+  SELECT stock_code, (close - scaling.low) / span AS x, lead((close - scaling.low) / span) OVER w AS y, lead(trade_date) OVER w AS target_date
+  FROM bars JOIN scaling USING (stock_code) WINDOW w AS (PARTITION BY stock_code ORDER BY trade_date)),
+windows AS (SELECT *, count(*) OVER (PARTITION BY stock_code) AS n_windows FROM steps WHERE target_date IS NOT NULL),
+fits AS (
+  SELECT stock_code, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept
+  FROM windows JOIN cuts USING (stock_code) WHERE target_date <= cut AND n_windows >= 50 GROUP BY ALL)"""
+)
+
 MODEL_RUNS = (
     BARS
     + """,
@@ -407,6 +423,18 @@ LEFT JOIN news n ON n.stock_code = b.stock_code AND n.news_date = b.trade_date W
 SELECT b.stock_code, b.trade_date, y.stock_code AS partner, round(p.p, 4) + 0.0 AS partner_polarity
 FROM bars b JOIN sectors x ON x.stock_code = b.stock_code JOIN sectors y ON y.sector = x.sector AND y.stock_code <> x.stock_code
 LEFT JOIN pol p ON p.stock_code = y.stock_code AND p.news_date = b.trade_date""",
+    "partner_sentiment": f"""WITH {MENTIONS}, {NEWS},
+pairs AS (
+  SELECT o.stock_code, c.stock_code AS partner, count(*) AS n_articles
+  FROM own o JOIN doc_words self ON self.doc_id = o.doc_id AND self.word = o.stock_code
+  JOIN doc_words w ON w.doc_id = o.doc_id JOIN mention_codes c ON c.stock_code = w.word
+  WHERE c.stock_code <> o.stock_code GROUP BY ALL),
+partners AS (SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY n_articles DESC, partner) AS position FROM pairs),
+m AS (SELECT o.stock_code, n.news_date, n.sentiment_score FROM own o JOIN news n USING (doc_id)),
+pol AS (SELECT stock_code, news_date, avg(sentiment_score) AS p FROM m GROUP BY ALL)
+SELECT d.stock_code, d.news_date AS trade_date, r.partner, round(pol.p, 4) + 0.0 AS partner_polarity
+FROM (SELECT DISTINCT stock_code, news_date FROM m) d JOIN partners r ON r.stock_code = d.stock_code AND r.position <= 5
+LEFT JOIN pol ON pol.stock_code = r.partner AND pol.news_date = d.news_date""",
     "prediction_actuals": f"""WITH {PREDICTIONS}
 SELECT a.stock_code, a.prediction_date, a.predicted_price, a.prev_date, q.close AS prev_close, c.close AS actual_close
 FROM actuals a JOIN bars c ON c.stock_code = a.stock_code AND c.trade_date = a.prediction_date
@@ -487,6 +515,9 @@ SELECT symbol, arg_min(price, row(event_ts, seq)) AS open, max(price) AS high, m
     "table_counts": f"""WITH {PREDICTIONS}, {NEWS}, {CODES}
 SELECT 'bars' AS table_name, count(*) AS n_rows FROM bars UNION ALL SELECT 'news', count(*) FROM news
 UNION ALL SELECT 'dim_stock', count(*) FROM codes UNION ALL SELECT 'predictions', count(*) FROM predictions""",
+    "alpha_catalog": f"""WITH {BARS} SELECT stock_code, i::BIGINT AS pos, f AS formula FROM (SELECT DISTINCT stock_code FROM bars), (VALUES {CATALOG}) AS v(f, i)""",
+    "result_rows": f"""WITH {BARS} SELECT stock_code, close AS predicted_price, CASE WHEN close > 2000 THEN 'price ' || stock_code END AS error FROM bars""",
+    "cleaned_columns": f"WITH {BARS} SELECT stock_code, trade_date, close AS close_price_VND FROM bars",
     "run_summary": f"""WITH {BARS}
 SELECT count(*) AS total, count(*) FILTER (WHERE NOT close > 2000) AS success, count(*) FILTER (WHERE close > 2000) AS failed
 FROM bars""",
@@ -536,6 +567,17 @@ FROM bars JOIN f USING (stock_code)""",
     "running_high_low": f"""WITH {TICKS}
 SELECT symbol, event_ts, seq, price, max(price) OVER w AS running_high, min(price) OVER w AS running_low
 FROM ticks WINDOW w AS (PARTITION BY symbol, CAST(event_ts AS DATE) ORDER BY event_ts, seq)""",
+    "session_high_low": f"""WITH {TICKS},
+q AS (SELECT *, CASE WHEN isodow(event_ts + INTERVAL 7 HOUR) < 6 AND hour(event_ts + INTERVAL 7 HOUR) BETWEEN 9 AND 14 THEN price END AS p FROM ticks)
+SELECT symbol, event_ts, seq, price, max(p) OVER w AS running_high, min(p) OVER w AS running_low
+FROM q WINDOW w AS (PARTITION BY symbol, CAST(event_ts AS DATE) ORDER BY event_ts, seq)""",
+    "carried_apart": f"""WITH {TICKS},
+q AS (SELECT symbol, event_ts, seq, CASE WHEN seq % 3 = 0 THEN change ELSE 0.0 END AS c, CASE WHEN seq % 5 = 0 THEN change_percent ELSE 0.0 END AS p FROM ticks),
+l AS (SELECT *, last_value(CASE WHEN c <> 0 THEN {{'v': c, 't': event_ts}} END IGNORE NULLS) OVER w AS cs,
+             last_value(CASE WHEN p <> 0 THEN {{'v': p, 't': event_ts}} END IGNORE NULLS) OVER w AS ps
+      FROM q WINDOW w AS (PARTITION BY symbol ORDER BY event_ts, seq ROWS UNBOUNDED PRECEDING))
+SELECT symbol, event_ts, seq, CASE WHEN event_ts < cs.t + INTERVAL 6 HOUR THEN cs.v ELSE coalesce(c, 0.0) END AS shown_change,
+       CASE WHEN event_ts < ps.t + INTERVAL 6 HOUR THEN ps.v ELSE coalesce(p, 0.0) END AS shown_change_percent FROM l""",
     "carried_change": f"""WITH {TICKS},
 q AS (SELECT symbol, event_ts, seq, CASE WHEN seq % 3 = 0 THEN change ELSE 0.0 END AS c, CASE WHEN seq % 3 = 0 THEN change_percent ELSE 0.0 END AS p FROM ticks),
 l AS (SELECT *, last_value(CASE WHEN c <> 0 THEN {{'c': c, 'p': p, 't': event_ts}} END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY event_ts, seq ROWS UNBOUNDED PRECEDING) AS s FROM q)
@@ -643,6 +685,9 @@ FROM (SELECT DISTINCT stock_code FROM bars), (VALUES {CHECKED}) AS v(f, e, p)"""
 CASE WHEN close <> open THEN (high - low) / (close - open) * volume + 2.5::DOUBLE + CASE WHEN close >= open THEN 1.0 ELSE 0.0 END END AS value FROM bars""",
     # factors
     "alpha_values": f"WITH {ALPHAS} SELECT stock_code, trade_date, formula, round(value, 3) + 0.0 AS value FROM alphas",
+    "many_formulas": f"""WITH {FEATURES}
+SELECT stock_code, 'close * ' || k::VARCHAR || ' - open' AS formula, count(*) AS n_values, round(max(close * k - open), 2) + 0.0 AS highest
+FROM features, (SELECT unnest(range(1, 151)) AS k) GROUP BY ALL""",
     "alpha_scores": f"WITH {ALPHAS} SELECT stock_code, formula, round(rank_ic, 4) + 0.0 AS rank_ic, n_samples FROM scores",
     "alpha_pvalues": f"""WITH {ALPHAS}, s AS (SELECT *, abs(rank_ic) AS a, 1 - rank_ic * rank_ic AS x FROM scores),
 p AS (
@@ -653,6 +698,13 @@ p AS (
 SELECT stock_code, formula, round(greatest(1 - inside, 0), 6) + 0.0 AS pvalue FROM p""",
     "best_alphas": f"""WITH {ALPHAS} SELECT stock_code, formula, position FROM
 (SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY rank_ic DESC NULLS LAST, formula) AS position FROM scores) WHERE position <= 5""",
+    "linear_predictions": f"""WITH {LINEAR}
+SELECT stock_code, target_date, round(y * span + low + 1e-6, 2) + 0.0 AS target, round((slope * x + intercept) * span + low + 1e-6, 2) + 0.0 AS predicted
+FROM windows JOIN fits USING (stock_code) JOIN scaling USING (stock_code) JOIN cuts USING (stock_code) WHERE target_date > cut""",
+    "linear_losses": f"""WITH {LINEAR}
+SELECT stock_code, round(avg((slope * x + intercept - y) ** 2), 6) + 0.0 AS mse_loss, any_value(n_windows) AS n_windows,
+       round(any_value(slope), 6) + 0.0 AS slope, round(any_value(intercept), 6) + 0.0 AS intercept
+FROM windows JOIN fits USING (stock_code) JOIN cuts USING (stock_code) WHERE target_date > cut GROUP BY stock_code""",
     "champions": f"""WITH {MODEL_RUNS}
 SELECT n.stock_code, CASE WHEN o.mse_loss < n.mse_loss THEN o.model_name ELSE n.model_name END AS model_name,
        NOT coalesce(o.mse_loss < n.mse_loss, FALSE) AS new_model_used,
@@ -740,3 +792,12 @@ FROM (SELECT split_part(symbol, '.', 1) AS stock_code FROM daily UNION SELECT st
 TIMESTAMP '1995-12-20 12:00:00' AS date, FALSE AS is_pdf, TIMESTAMP '1995-12-20 12:00:00' AS crawled_at FROM pages""",
 }
 ORACLE["serving_report_breadth"] = ORACLE["market_breadth"]
+for _name, _twin in {
+    "board": "market_board",
+    "prediction_trend": "prediction_trends",
+    "accuracy": "prediction_accuracy",
+    **{n: n for n in ("gainers_losers", "signed_movers", "top_volume", "sector_volume")},
+}.items():
+    ORACLE[f"serving_report_{_name}"] = ORACLE[_twin]
+# the report names up to 15 leaders of a sector
+ORACLE["serving_report_sector_leaders"] = ORACLE["sector_top_volume"].replace("position <= 3", "position <= 15")

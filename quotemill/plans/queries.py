@@ -232,6 +232,35 @@ def page_titles(t):
     return out.select("page_id", "title", F.size("links").cast("bigint").alias("n_links"), "is_pdf")
 
 
+@query
+def alpha_catalog(t):
+    """A file for each stock, {stock: [formulas]}, read back as rows."""
+    path = scratch(t.spark, "catalog")
+    listed = t.catalog.groupBy("stock_code").agg(F.array_sort(F.collect_list(F.struct("pos", "formula"))).alias("f"))
+    # a stock has a short list of formulas
+    text = F.to_json(F.create_map("stock_code", F.col("f.formula")))
+    listed.select("stock_code", text.alias("value")).write.partitionBy("stock_code").text(path)
+    good, _ = fs.read_alpha_catalog(t.spark, path)
+    return good.select("stock_code", F.col("pos").cast("bigint").alias("pos"), "formula")
+
+
+@query
+def result_rows(t):
+    """Result files of several batches, one for each stock and year, read as one table."""
+    path = scratch(t.spark, "results")
+    rows = _results(t.bars, "trade_date").withColumn("batch", F.concat_ws("-", "stock_code", F.year("trade_date")))
+    # a batch holds a year's days at most
+    listed = rows.groupBy("batch").agg(F.collect_list(F.struct("stock_code", "predicted_price", "error")).alias("r"))
+    listed.select("batch", F.to_json("r").alias("value")).write.partitionBy("batch").text(path)
+    return fs.read_results(t.spark, path).select("stock_code", "predicted_price", "error")
+
+
+@query
+def cleaned_columns(t):
+    odd = t.bars.select("stock_code", F.col("trade_date").alias("trade date"), F.col("close").alias("close price (VND)"))
+    return sc.clean_column_names(odd)
+
+
 # --- filters ------------------------------------------------------------------------------------
 
 
@@ -339,6 +368,15 @@ def related_sentiment(t):
     return rounded(jn.join_related_sentiment(t.bars, t.news, pairs), "partner_polarity")
 
 
+@query
+def partner_sentiment(t):
+    """On each day with news of a stock: the sentiment of the five companies named most often with it."""
+    scored = t.mention_news.drop("sentiment_score").join(t.news.select("article_id", "sentiment_score"), "article_id")
+    days = t.mention_news.select("stock_code", F.col("news_date").alias("trade_date")).distinct()
+    partners = nw.related_companies(t.mention_news, t.mention_codes, k=5)
+    return rounded(jn.join_related_sentiment(days, scored, partners), "partner_polarity")
+
+
 @query
 def prediction_actuals(t):
     return jn.join_actuals(t.predictions, t.bars).select(
@@ -503,16 +541,16 @@ def table_counts(t):
     return tb.table_counts({"bars": t.bars, "news": t.news, "dim_stock": t.dim_stock, "predictions": t.predictions})
 
 
-def _results(t):
+def _results(bars, *more):
     """Prediction results: bars with a high close count as failed."""
     failed = F.when(F.col("close") > 2000, F.concat(F.lit("price "), F.col("stock_code")))
-    return t.bars.select("stock_code", F.col("close").alias("predicted_price"), failed.alias("error"))
+    return bars.select("stock_code", F.col("close").alias("predicted_price"), failed.alias("error"), *more)
 
 
 @query
 def run_summary(t):
     path = scratch(t.spark, "results")
-    _results(t).write.json(path)
+    _results(t.bars).write.json(path)
     rows = t.spark.read.schema(schemas.RESULT_ROWS).json(path)
     return pr.run_summary(rows)
 
@@ -597,6 +635,12 @@ def running_high_low(t):
     return mk.running_high_low(t.raw_ticks).select("symbol", "event_ts", "seq", "price", "running_high", "running_low")
 
 
+@query
+def session_high_low(t):
+    out = mk.running_high_low(t.raw_ticks, trading_hours=True)
+    return out.select("symbol", "event_ts", "seq", "price", "running_high", "running_low")
+
+
 def _quiet(t):
     """Ticks in which two thirds of the changes count as unchanged."""
     moved = F.col("seq") % 3 == 0
@@ -609,6 +653,14 @@ def carried_change(t):
     return out.select("symbol", "event_ts", "seq", "shown_change", "shown_change_percent")
 
 
+@query
+def carried_apart(t):
+    """Changes and percents that pause on different ticks."""
+    pause = {"change": F.col("seq") % 3 != 0, "change_percent": F.col("seq") % 5 != 0}
+    rows = t.ticks.withColumns({c: F.when(p, 0.0).otherwise(F.col(c)) for c, p in pause.items()})
+    return mk.carry_change(rows, ttl="6 hours").select("symbol", "event_ts", "seq", "shown_change", "shown_change_percent")
+
+
 @query
 def tick_direction(t):
     rows = t.ticks.withColumn("price", F.floor(F.col("price") / 20) * 1.0)
@@ -853,6 +905,15 @@ def alpha_values(t):
     return rounded(out, "value", digits=3)
 
 
+@query
+def many_formulas(t):
+    """More formulas than one pass over the features computes."""
+    listed = F.explode(F.transform(F.sequence(F.lit(1), F.lit(150)), lambda k: F.format_string("close * %d - open", k)))
+    values = al.apply_alphas(settle(t.features), t.codes.select("stock_code", listed.alias("formula")))
+    out = values.groupBy("stock_code", "formula").agg(F.count("value").alias("n_values"), F.max("value").alias("highest"))
+    return rounded(out, "highest", digits=2)
+
+
 @query
 def alpha_scores(t):
     out = al.score_formulas(t.features, t.catalog).select("stock_code", "formula", "rank_ic", "n_samples")
@@ -877,6 +938,23 @@ def validated_models(t):
     return trained.best()
 
 
+def _linear(t):
+    return pr.linear_validation(t.bars.select("stock_code", "trade_date", "close"), [], w=1)
+
+
+@query
+def linear_predictions(t):
+    """A least-squares fit on one lag of each stock, in prices, on the windows that it was not fitted on."""
+    return _linear(t)[0].withColumns({c: r(c, 2, nudge=1e-6) for c in ("target", "predicted")})
+
+
+@query
+def linear_losses(t):
+    slope, intercept = F.col("weights")[0].alias("slope"), F.col("weights")[1].alias("intercept")
+    out = _linear(t)[1].select("stock_code", "mse_loss", "n_windows", slope, intercept)
+    return rounded(out, "mse_loss", "slope", "intercept", digits=6)
+
+
 @query
 def champions(t):
     runs = pr.read_model_runs(_model_runs(t))
@@ -1136,3 +1214,36 @@ def prediction_run(t):
 def serving_report_breadth(t):
     report = jobs.serving_report(t.latest, t.daily, t.predictions, t.sectors, NOW)
     return rounded(report["breadth"], "avg_change_percent")
+
+
+#: The other tables of the report, and their columns where not all are compared.
+REPORT = {
+    "board": (),
+    "gainers_losers": ("side", "position", "symbol", "price", "change_percent"),
+    "signed_movers": (),
+    "top_volume": ("symbol", "volume", "volume_millions", "direction", "position"),
+    "sector_volume": (),
+    "sector_leaders": ("sector", "symbol", "volume", "position"),
+    "prediction_trend": ("stock_code", "prediction_trend", "confidence_score"),
+    "accuracy": (),
+}
+
+
+def _report_table(name: str, columns: tuple[str, ...]) -> Callable[[Domain], DataFrame]:
+    def build(t: Domain) -> DataFrame:
+        # the older bars are those that the predictions were made for
+        kept = ("trade_date", "open", "high", "low", "close")
+        older = t.bars.select(F.concat("stock_code", F.lit(".VN")).alias("symbol"), *kept)
+        daily = t.daily.select("symbol", *kept).unionByName(older)
+        table = jobs.serving_report(t.latest, daily, t.predictions, t.sectors, NOW)[name]
+        table = table.select(*columns) if columns else table
+        if "position" in columns:
+            table = table.withColumn("position", F.col("position").cast("bigint"))
+        return rounded(table, "share_percent") if name == "sector_volume" else table
+
+    build.__name__ = f"serving_report_{name}"
+    return build
+
+
+for _name, _columns in REPORT.items():
+    query(_report_table(_name, _columns))

@@ -68,25 +68,42 @@ def normalize_quotes(quotes: DataFrame, produced_at: Column | None = None) -> Da
     )
 
 
-def _read_text_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """CSV with a header as text columns; quoted line breaks and very long fields are kept."""
-    text = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.csv(
-        path, schema=text, header=True, multiLine=True, escape='"', maxCharsPerColumn=-1, mode="PERMISSIVE"
-    )
+LINE = "_line"
+
+
+def _read_text_csv(spark: SparkSession, path: str, columns: Sequence[str], multi_line: bool) -> DataFrame:
+    """CSV with a header as text columns, very long fields included, and ``_line`` where it is broken.
+
+    With ``multi_line`` quoted line breaks are kept, and a file is one task's. Otherwise a row is a
+    line and large files are split; a line with an open quote or with too many fields is broken.
+    """
+    text = T.StructType([T.StructField(c, T.StringType()) for c in (*columns, LINE)])
+    rows = spark.read.csv(
+        path, schema=text, header=True, multiLine=multi_line, escape='"', maxCharsPerColumn=-1, mode="PERMISSIVE",
+        columnNameOfCorruptRecord=LINE,
+    )
+    # a line that only ends early has NULL in its last columns
+    short = ~F.contains(LINE, F.lit('"')) & (F.size(F.split(LINE, ",")) <= len(columns))
+    return rows.withColumn(LINE, F.when(F.lit(not multi_line) & ~short, F.col(LINE)))
 
 
 def _load_csv(
-    spark: SparkSession, path: str, schema: T.StructType, parsers: dict[str, Column], required: Sequence[str]
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    parsers: dict[str, Column],
+    required: Sequence[str],
+    multi_line: bool,
 ) -> tuple[DataFrame, DataFrame]:
     """Typed rows, and the rejected rows as text with the reason."""
     names = schema.names
-    raw = _read_text_csv(spark, path, names)
+    raw = _read_text_csv(spark, path, names, multi_line)
     blank = {c: F.when(F.trim(c) != "", F.col(c)) for c in names}
     raw = raw.withColumns(blank)
     typed = {f.name: parsers.get(f.name, F.col(f.name).try_cast(f.dataType)) for f in schema.fields}
     bad = F.array_compact(
         F.array(
+            F.when(F.col(LINE).isNotNull(), F.lit("broken line")),
             *[F.when(F.col(c).isNull(), F.lit(f"{c} missing")) for c in required],
             *[
                 F.when(F.col(c).isNotNull() & typed[c].isNull(), F.lit(f"{c} unreadable"))
@@ -100,19 +117,20 @@ def _load_csv(
     return good, flagged.filter(F.size("reject_reasons") > 0)
 
 
-def load_daily_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Daily bars: empty fields are NULL; symbol and date are required."""
-    return _load_csv(spark, path, schemas.DAILY, {}, ("symbol", "trade_date"))
+def load_daily_csv(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Daily bars: empty fields are NULL; symbol and date are required. Large files are split by line."""
+    return _load_csv(spark, path, schemas.DAILY, {}, ("symbol", "trade_date"), multi_line)
 
 
-def load_bars_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Intraday bars: the interval defaults to 1m, times carry micros and a zone."""
+def load_bars_csv(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Intraday bars: the interval defaults to 1m, times carry micros and a zone. Files are split by line."""
     good, rejects = _load_csv(
         spark,
         path,
         schemas.BARS,
         {"ts": parse_ts_multi("ts"), "interval": F.coalesce("interval", F.lit("1m"))},
         ("symbol", "bucket_date", "ts"),
+        multi_line,
     )
     return good, rejects
 
@@ -125,6 +143,7 @@ def load_news_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
         schemas.NEWS,
         {"date": parse_ts_multi("date"), "crawled_at": parse_ts_multi("crawled_at"), "is_pdf": parse_bool("is_pdf")},
         ("article_id", "stock_code", "date"),
+        multi_line=True,
     )
 
 

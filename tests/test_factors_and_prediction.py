@@ -235,3 +235,25 @@ def test_tail_and_period(spark, rows):
     assert rows(pr.period_summary(df, 3)) == [("A", 10.0, 8.0, 10.0)]
     plan = pr.tail_by_key(df, 2)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_least_squares_by_stock(spark):
+    import numpy as np
+
+    from quotemill.operators import predict as pr
+
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for code, n in (("A", 40), ("B", 300), ("C", 2)):
+        x = rng.normal(size=(n, 3))
+        x[:, 2] = 2 * x[:, 1] if code == "B" else x[:, 2]  # features that depend on each other
+        y = x @ [1.5, -2.0, 0.5] + 3 + rng.normal(size=n) / 10
+        want[code] = (x, np.c_[x, np.ones(n)] @ np.linalg.lstsq(np.c_[x, np.ones(n)], y, rcond=None)[0])
+        rows += [(code, i, a.tolist(), float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "stock_code string, i int, features array<double>, target double").repartition(5)
+    fitted = pr.least_squares(df)
+    got = df.join(fitted, "stock_code").withColumn("v", pr.linear_value("weights", "features")).collect()
+    assert len(got) == 342
+    assert all(abs(r["v"] - want[r["stock_code"]][1][r["i"]]) < 1e-6 for r in got)
+    narrow = {r["stock_code"]: r["weights"] for r in pr.least_squares(df, ridge=1e6).collect()}
+    assert all(abs(w) < 1e-4 for w in narrow["A"][:3]) and abs(narrow["A"][3] - 3) < 1

@@ -256,3 +256,23 @@ def test_news_of_a_day_touches_one_partition(spark, tmp_path):
     after = tb.Versions(spark, table.path).latest().folders
     assert {name for name in after if after[name] != before[name]} == {"news_day=2024-01-03"}
     assert table.read(spark).count() == 6 and table.read(spark).columns == table.schema.names
+
+
+def test_large_csv_is_split(spark, tmp_path):
+    names = schemas.DAILY.names
+    line = lambda i: f"S{i % 7},2024-01-{1 + i % 28:02d},1.5,2,1,2,{i}" + "," * (len(names) - 7)
+    lines = [line(i) for i in range(5000)]
+    lines[100] = 'S1,2024-01-02,"1.5'
+    lines[200] += ",one,too,many"
+    lines[300] = "S1,2024-01-02,1.5,2,1,2,300"
+    path = write(tmp_path / "big.csv", "\n".join([",".join(names), *lines]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        good, bad = fs.load_daily_csv(spark, path)
+        whole, _ = fs.load_daily_csv(spark, path, multi_line=True)
+        assert good.rdd.getNumPartitions() > 3 and whole.rdd.getNumPartitions() == 1
+        assert sorted(r["volume"] for r in good.collect()) == [i for i in range(5000) if i not in (100, 200)]
+        assert [r["reject_reasons"][0] for r in bad.collect()] == ["broken line"] * 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -238,3 +238,19 @@ def test_all_runs_give_the_same(make_ticks, rows, monkeypatch, limit, width):
     carried = rows(mk.carry_change(t, ttl="20 minutes"), "symbol", "seq", "shown_change")
     monkeypatch.setattr(mk, "with_runs", lambda df, keys, order: real(df, keys, order))
     assert carried == rows(mk.carry_change(t, ttl="20 minutes"), "symbol", "seq", "shown_change")
+
+
+def test_change_and_percent_are_carried_apart(make_ticks, rows):
+    t = make_ticks(*[("A", f"2024-01-02 02:{m:02d}:00", 1, 1, 1, 1, c) for m, c in ((0, 1.5), (1, 0.0), (2, 2.5), (3, 0.0))])
+    t = t.withColumn("change_percent", F.when(F.col("seq") == 1, 9.0).when(F.col("seq") == 3, F.lit(None)).otherwise(0.0))
+    got = rows(mk.carry_change(t), "seq", "shown_change", "shown_change_percent")
+    assert got == [(0, 1.5, 0.0), (1, 1.5, 9.0), (2, 2.5, 9.0), (3, 2.5, 9.0)]
+
+
+def test_high_and_low_of_the_session_only(make_ticks, rows):
+    # the market opens at 02:00 and closes at 08:00
+    t = make_ticks(*[("A", f"2024-01-02 {h}", p, 1) for h, p in (("01:59:59", 99), ("02:00:00", 5), ("07:59:59", 7), ("08:00:00", 1))])
+    got = rows(mk.running_high_low(t, trading_hours=True), "seq", "running_high", "running_low")
+    assert got == [(0, None, None), (1, 5.0, 5.0), (2, 7.0, 5.0), (3, 7.0, 5.0)]
+    weekend = make_ticks(("A", "2024-01-06 03:00:00", 5, 1))
+    assert rows(mk.running_high_low(weekend, trading_hours=True), "running_high") == [(None,)]
