@@ -348,6 +348,18 @@ local_times AS (
   FROM raw_ticks)"""
 )
 
+def _running(width: str, delay: str, volume: str) -> str:
+    """Each tick's bar so far: a quarter of the ticks comes in a second batch, less those whose bar has closed."""
+    cents = lambda x: f"floor({x} * 100.0 + 0.5) / 100.0"
+    return f"""WITH {TICKS}, m AS (SELECT max(event_ts) AS seen FROM valid WHERE seq % 4 <> 0),
+n AS (SELECT *, (seq % 4 = 0)::INT AS batch, time_bucket(INTERVAL {width}, event_ts, TIMESTAMP '2000-01-01') AS ts,
+             row_number() OVER (PARTITION BY symbol ORDER BY event_ts, seq) AS place FROM valid WHERE market_hours = 1),
+kept AS (SELECT n.* FROM n, m WHERE batch = 0 OR ts + INTERVAL {width} > seen - INTERVAL {delay})
+SELECT symbol, CAST(ts AS DATE) AS bucket_date, ts, event_ts, seq, count(*) OVER w AS ticks, {cents("arg_min(price, place) OVER w")} AS open,
+       {cents("arg_max(price, place) OVER w")} AS "close", {cents("max(price) OVER w")} AS high, {cents("min(price) OVER w")} AS low, {volume} AS volume
+FROM kept WINDOW w AS (PARTITION BY symbol, ts ORDER BY batch, place ROWS UNBOUNDED PRECEDING)"""
+
+
 ORACLE: dict[str, str] = {
     # sources and sinks
     "ticks": f'WITH {TICKS} SELECT {TICK_COLUMNS}, "timestamp", exchange, producer_timestamp FROM ticks',
@@ -737,6 +749,8 @@ FROM l WHERE price IS DISTINCT FROM p0 OR change IS DISTINCT FROM c0 OR change_p
     "late_ticks": f"""WITH {TICKS}, m AS (SELECT max(event_ts) AS seen FROM valid WHERE seq % 4 <> 0)
 SELECT sink, symbol, event_ts, seq, price FROM valid, m, (VALUES ('minute', INTERVAL 1 MINUTE, INTERVAL 10 MINUTE), ('daily', INTERVAL 1 DAY, INTERVAL 1 DAY)) v(sink, width, delay)
 WHERE seq % 4 = 0 AND market_hours = 1 AND time_bucket(width, event_ts, TIMESTAMP '2000-01-01') + width <= seen - delay""",
+    "stream_running_daily": _running("1 DAY", "1 DAY", "arg_max(day_volume, place) OVER w"),
+    "stream_running_minute": _running("1 MINUTE", "10 MINUTE", "(sum(last_size) OVER w)::BIGINT"),
     "gated_ticks": f"""WITH {RAW} SELECT symbol, seq, price FROM raw_ticks
 WHERE isodow(event_ts + INTERVAL 7 HOUR) < 6 AND hour(event_ts + INTERVAL 7 HOUR) BETWEEN 9 AND 14""",
     "live_movers": f"""WITH {TICKS},

@@ -1023,14 +1023,33 @@ def stream_changes(t):
     return out.select("symbol", "seq", "price", "change", "day_volume", "last_size", "latency_ms")
 
 
-@query
-def late_ticks(t):
-    """A quarter of the ticks arrive in a second batch: which of them find their bars closed."""
+def _streamed_in_two(t, *sinks: str):
+    """Three quarters of the ticks as a first batch, the others as a second one; returns the tables."""
     source, out = scratch(t.spark, "stream-in"), scratch(t.spark, "stream-out")
     for part in (F.col("seq") % 4 != 0, F.col("seq") % 4 == 0):
         t.ticks.select(*schemas.TIMED_TICK.names).filter(part).write.mode("append").parquet(source)
-        sp.run_available(sp.tick_pipeline(t.spark, source, out, ("late",), schema=schemas.TIMED_TICK, once=True))
-    return sp.serving_tables(out)["late"].read(t.spark).select("sink", "symbol", "event_ts", "seq", "price")
+        sp.run_available(sp.tick_pipeline(t.spark, source, out, sinks, schema=schemas.TIMED_TICK, once=True))
+    return sp.serving_tables(out)
+
+
+@query
+def late_ticks(t):
+    """A quarter of the ticks arrive in a second batch: which of them find their bars closed."""
+    return _streamed_in_two(t, "late")["late"].read(t.spark).select("sink", "symbol", "event_ts", "seq", "price")
+
+
+RUNNING_COLUMNS = ("symbol", "bucket_date", "ts", "event_ts", "seq", "ticks", "open", "close", "high", "low", "volume")
+
+
+@query
+def stream_running_daily(t):
+    """Each tick's day so far; those of the second batch go on from what the first one left."""
+    return _streamed_in_two(t, "running_daily")["running_daily"].read(t.spark).select(*RUNNING_COLUMNS)
+
+
+@query
+def stream_running_minute(t):
+    return _streamed_in_two(t, "running_minute")["running_minute"].read(t.spark).select(*RUNNING_COLUMNS)
 
 
 @query

@@ -66,6 +66,8 @@ def stored_ticks(spark: SparkSession, out: str) -> DataFrame:
 
 
 SINKS = ("ticks", "latest", "daily", "minute", "changes", "late")
+#: Further sinks, on request: a row for each tick, with its bar so far.
+RUNNING_SINKS = ("running_daily", "running_minute")
 
 
 def tick_pipeline(

@@ -10,7 +10,7 @@ import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,13 +43,20 @@ _CHANGES = schemas.columns(
     "symbol string, event_ts timestamp, seq bigint, price double, change double, change_percent double, day_volume bigint, "
     "last_size bigint, producer_timestamp bigint, latency_ms bigint, slot string"
 )
+_RUNNING = schemas.columns(
+    "symbol string, bucket_date date, ts timestamp, event_ts timestamp, seq bigint, ticks bigint, open double, close double, "
+    "high double, low double, volume bigint, vwap double, slot string"
+)
 _LATE = T.StructType([T.StructField("sink", T.StringType()), *schemas.TIMED_TICK.fields, T.StructField("trade_date", T.DateType())])
 
 
 def serving_tables(out: str) -> dict[str, Table]:
     """The keyed tables below a folder: what is served, and the state that the next batch needs."""
     bar = ("symbol", "bucket_date", "ts")
+    # a batch's rows are a partition of their own, so taking in a batch rewrites nothing
+    running = {f"running_{sink}": Table(f"{out}/running_{sink}", _RUNNING, (*bar, "ticks", "slot"), "slot") for sink in DELAYS}
     return {
+        **running,
         "latest": Table(f"{out}/stock_latest_prices", schemas.TIMED_TICK, ("symbol",)),
         "daily": Table(f"{out}/stock_daily_summary", schemas.DAILY, ("symbol", "trade_date"), "trade_date"),
         "minute": Table(
@@ -107,6 +114,36 @@ def merged_bars(parts: DataFrame) -> DataFrame:
     )
 
 
+def running_bars(ticks: DataFrame, held: DataFrame, sink: str) -> DataFrame:
+    """For each session tick of a batch its bar so far, in the order of time and sequence.
+
+    ``held``: the unfinished bars that earlier batches left. Volume is the day's cumulative one for
+    daily bars and the summed trade size for minutes. A tick that is older than what is held counts
+    in the sums but is neither the bar's last one nor, unless it is the very first, its open.
+    """
+    before = held.select("symbol", "bucket_date", "ts", *[F.col(c).alias(f"_{c}") for c in _PARTIAL.names[3:]])
+    rows = in_session(ticks).withColumns({"_at": order_key(ticks, TICK_ORDER).cast(_AT), "ts": F.window("event_ts", WIDTHS[sink])["start"]})
+    rows = rows.withColumn("bucket_date", F.to_date("ts")).join(before, ["symbol", "bucket_date", "ts"], "left")
+    # a day or a minute of one symbol: rows are read in order and the frame holds sums alone
+    so_far = Window.partitionBy("symbol", "bucket_date", "ts").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    newer = F.coalesce(F.col("_at") >= F.col("_last_at"), F.lit(True))
+    opened = F.coalesce(F.col("_first_at") <= F.first("_at").over(so_far), F.lit(False))
+    added = lambda own, x: F.coalesce(own, F.lit(0)) + F.coalesce(F.sum(x).over(so_far), F.lit(0))
+    bars = rows.withColumns(
+        {
+            "ticks": F.coalesce("_n", F.lit(0)) + F.count(F.lit(1)).over(so_far),
+            "open": F.when(opened, F.col("_open")).otherwise(F.first("price").over(so_far)),
+            "close": F.when(newer, F.col("price")).otherwise(F.col("_close")),
+            "high": F.greatest("_high", F.max("price").over(so_far)),
+            "low": F.least("_low", F.min("price").over(so_far)),
+            "volume": F.when(newer, F.col("day_volume")).otherwise(F.col("_last_volume")) if sink == "daily" else added(F.col("_size"), F.col("last_size")),
+            "_traded": added(F.col("_value"), F.col("price") * F.col("last_size")),
+        }
+    )
+    vwap = F.when((F.col("ticks") > 1) & (F.col("volume") > 0), F.col("_traded") / F.col("volume").cast("double")).otherwise(F.col("close"))
+    return bars.withColumn("vwap", vwap).withColumns({c: round2(c) for c in PRICE_COLUMNS}).select(*_RUNNING.names[:-1])
+
+
 def finished_bars(parts: DataFrame, sink: str) -> DataFrame:
     """The bars as they are served."""
     if sink == "minute":
@@ -124,11 +161,13 @@ class TickSinks:
     """The tables that a stream of clean ticks keeps up to date.
 
     ``change_seconds``: how long a change stays in the change feed, by event time (None: for ever).
+    ``running_batches``: the running bars of how many batches stay readable (None: of all).
     """
 
     out: str
     wanted: Sequence[str]
     change_seconds: int | None
+    running_batches: int | None = 1000
 
     def __post_init__(self) -> None:
         self.tables = serving_tables(self.out)
@@ -174,17 +213,23 @@ class TickSinks:
         """Each session tick goes into its bar or, once that has closed, among the late ones."""
         spark = ticks.sparkSession
         in_time, late = split_late(in_session(ticks), before, sink)
-        if sink in self.wanted:
+        if sink in self.wanted or f"running_{sink}" in self.wanted:
             state = self.tables[f"{sink}_state"]
             parts = partial_bars(in_time, WIDTHS[sink]).persist()
             keys = parts.select("symbol", "bucket_date", "ts")
             same = ["symbol", "bucket_date", "ts"]
             held = state.read(spark).join(keys, same, "left_semi")
+            if f"running_{sink}" in self.wanted:
+                # before the state moves on, so that a replay that still has to write these finds the old one
+                rows = running_bars(in_time, held, sink).withColumn("slot", F.lit(f"{number:012d}"))
+                oldest = None if self.running_batches is None else f"{max(0, number + 1 - self.running_batches):012d}"
+                upsert(self.tables[f"running_{sink}"], rows, batch=number, expire_below=oldest)
             closed = None if before is None else (before - DELAYS[sink]).date().isoformat()
             upsert(state, merged_bars(held.unionByName(parts)), batch=number, expire_below=closed)
-            # from the stored state: a replay finds there what it merged the first time
-            touched = state.read(spark).join(keys, same, "left_semi")
-            upsert(self.tables[sink], finished_bars(touched, sink), batch=number)
+            if sink in self.wanted:
+                # from the stored state: a replay finds there what it merged the first time
+                touched = state.read(spark).join(keys, same, "left_semi")
+                upsert(self.tables[sink], finished_bars(touched, sink), batch=number)
             parts.unpersist()
         if "late" in self.wanted and before is not None:
             rows = late.withColumns({"sink": F.lit(sink), "trade_date": F.to_date("event_ts")})

@@ -118,3 +118,47 @@ def test_stored_schemas(spark, make_ticks, tmp_path):
     sinks.write(make_ticks(("A.VN", "2024-01-02 03:00:00", 1, 1)), 1)
     assert sinks.tables["daily"].read(spark).schema.names == schemas.DAILY.names
     assert sinks.tables["minute"].read(spark).schema.names == schemas.BARS.names
+
+
+@pytest.mark.parametrize("sink", ["daily", "minute"])
+def test_each_tick_has_its_bar_so_far(spark, make_ticks, tmp_path, rows, sink):
+    """Against a walk over the ticks; the third batch is replayed, and the last rows are the bars."""
+    ticks, batch_of = shuffled_ticks(make_ticks, 5)
+    ticks = ticks.withColumn("event_ts", F.to_timestamp(F.from_unixtime(F.unix_timestamp("event_ts") - F.pmod("seq", F.lit(3)) * 600)))
+    ticks = spark.createDataFrame(ticks.collect(), ticks.schema)
+    sinks = TickSinks(str(tmp_path), (sink, f"running_{sink}"), None)
+    for number, batch in enumerate(batches(ticks, batch_of)):
+        sinks.write(batch, number)
+        if number == 2:
+            sinks.write(batch, number)
+    plain = sorted(ticks.filter("market_hours = 1").collect(), key=lambda r: (batch_of[r.seq], r.event_ts, r.seq))
+    times = {b: max((r.event_ts for r in ticks.collect() if batch_of[r.seq] < b), default=None) for b in range(4)}
+    width = dt.timedelta(days=1) if sink == "daily" else dt.timedelta(minutes=1)
+    cents = lambda x: int(x * 100 + 0.5) / 100
+    held, want = {}, []
+    for r in plain:
+        begin = r.event_ts.replace(second=0, microsecond=0) if sink == "minute" else r.event_ts.replace(hour=0, minute=0, second=0, microsecond=0)
+        if times[batch_of[r.seq]] is not None and begin + width <= times[batch_of[r.seq]] - DELAYS[sink]:
+            continue
+        seen = held.setdefault((r.symbol, begin), [])
+        seen.append(r)
+        in_order = sorted(seen, key=lambda x: (x.event_ts, x.seq))
+        volume = in_order[-1].day_volume if sink == "daily" else sum(x.last_size for x in seen)
+        value = sum(x.price * x.last_size for x in seen)
+        vwap = value / volume if len(seen) > 1 and volume > 0 else in_order[-1].price
+        prices = [x.price for x in seen]
+        want.append((r.seq, len(seen), in_order[0].price, in_order[-1].price, max(prices), min(prices), volume, cents(vwap)))
+    got = rows(sinks.tables[f"running_{sink}"].read(spark), "seq", "ticks", "open", "close", "high", "low", "volume", "vwap")
+    assert got == sorted(want, key=repr) and max(w[1] for w in want) > (5 if sink == "daily" else 0)
+    closes = {(r.symbol, r.ts): (r.ticks, r.close) for r in sorted(sinks.tables[f"running_{sink}"].read(spark).collect(), key=lambda r: r.ticks)}
+    day = "trade_date" if sink == "daily" else "ts"
+    assert {c for _, c in closes.values()} == {r.close for r in sinks.tables[sink].read(spark).select("symbol", day, "close").collect()}
+
+
+def test_running_bars_expire_by_batch(spark, make_ticks, tmp_path, rows):
+    sinks = TickSinks(str(tmp_path), ("running_daily",), None, running_batches=2)
+    for number in range(4):
+        at = START + dt.timedelta(seconds=number)
+        sinks.write(make_ticks(("A.VN", at.isoformat(sep=" "), 10 + number, 1, 5 + number)), number)
+    assert rows(sinks.tables["running_daily"].read(spark), "ticks", "open", "close", "volume") == [(3, 10.0, 12.0, 7), (4, 10.0, 13.0, 8)]
+    assert not sinks.tables["daily"].exists(spark)
