@@ -1,5 +1,8 @@
 """Repeated rows, one-sided labels, long word shapes and vectors of other lengths."""
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quotemill.llm import neighbours, quality, simhash, toxicity
@@ -48,3 +51,38 @@ def test_queries_of_another_length(spark):
     queries = spark.createDataFrame([(100 + i, [1.0, 2.0, 3.0]) for i in range(5)] + [(200, [1.0, 0.0])], "vec_id long, embedding array<double>")
     got = neighbours.nearest_neighbours(vectors, queries, k=3).collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(200, 1, 29), (200, 2, 28), (200, 3, 27)]
+
+
+def _found(rows) -> dict:
+    found = {}
+    for r in rows:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    return found
+
+
+@pytest.mark.parametrize("options", [{}, {"rerank_per_root": 0.0}, {"rerank_per_root": 0.0, "rerank_share": 1.0}])
+def test_recall_of_random_vectors(spark, options):
+    """20,000 vectors without any structure, with either bound on what is compared; all of it compared is exact."""
+    vectors = np.random.default_rng(1).normal(size=(20_000, 64))
+    frame = pd.DataFrame({"vec_id": np.arange(len(vectors)), "embedding": vectors.tolist()})
+    table = spark.createDataFrame(frame, "vec_id long, embedding array<double>").repartition(4)
+    found = _found(neighbours.nearest_neighbours(table, table.where("vec_id % 400 = 0"), **options).collect())
+    assert sorted(found) == list(range(0, 20_000, 400)) and all(len(f) == 20 for f in found.values())
+    hits = 0
+    for query, near in found.items():
+        score = vectors @ vectors[query]
+        score[query] = -np.inf
+        hits += len(near & set(np.argsort(-score)[:20].tolist()))
+    recall = hits / (20 * len(found))
+    print(options, "recall", recall)
+    assert recall == 1.0 if options.get("rerank_share") == 1.0 else 0.9 <= recall < 1.0
+
+
+def test_little_is_compared():
+    """What the share of a sixth compares of a block, ties of the last distance included."""
+    vectors = np.random.default_rng(2).normal(size=(8_192, 64))
+    pivots = neighbours.Pivots(vectors[:400], float(np.sqrt((vectors**2).sum(axis=1).max())))
+    near = [len(rows) for rows, _ in neighbours.search_block(vectors, vectors[:40], pivots, 32, len(vectors) // 6)]
+    assert np.mean(near) < 0.2 * len(vectors)
+    far = vectors[:9] @ pivots.points[:, :64].T
+    assert (pivots._first(-far, 32) == np.argsort(-far, axis=1, kind="stable")[:, :32]).all()
