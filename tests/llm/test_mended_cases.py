@@ -79,10 +79,10 @@ def test_recall_of_random_vectors(spark, options):
 
 
 def test_little_is_compared():
-    """What the share of a sixth compares of a block, ties of the last distance included."""
+    """What the default share compares of a block, ties of the last distance included."""
     vectors = np.random.default_rng(2).normal(size=(8_192, 64))
     pivots = neighbours.Pivots(vectors[:400], float(np.sqrt((vectors**2).sum(axis=1).max())))
-    near = [len(rows) for rows, _ in neighbours.search_block(vectors, vectors[:40], pivots, 32, len(vectors) // 6)]
-    assert np.mean(near) < 0.2 * len(vectors)
+    near = [len(rows) for rows, _ in neighbours.search_block(vectors, vectors[:40], pivots, 64, round(0.09 * len(vectors)))]
+    assert np.mean(near) < 0.1 * len(vectors)
     far = vectors[:9] @ pivots.points[:, :64].T
     assert (pivots._first(-far, 32) == np.argsort(-far, axis=1, kind="stable")[:, :32]).all()
